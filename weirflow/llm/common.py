@@ -69,6 +69,28 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list],
     return df.mapInArrow(run, df.schema)
 
 
+class Recent(dict):
+    """A cache of a function's values over strings that keeps those of recent use, at most twice so many.
+
+    When it is full, its entries become the older half, out of which those in use come back.
+    """
+
+    def __init__(self, function: Callable[[str], object], most: int):
+        super().__init__()
+        self.function, self.most = function, most
+        self.older: dict = {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def id_text_crc(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; NULL for a NULL id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
