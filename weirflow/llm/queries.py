@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, langid, packing, quality, simhash
+from . import chat, decontaminate, fingerprint, langid, linededup, packing, pii, quality, simhash, tokencount
 from .common import id_text_crc, table
 
 #: The conversation that the formatting query adds: texts that hold the template's own control strings.
@@ -46,10 +46,22 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("values").alias("n_values"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
@@ -64,7 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_packing": op7_packing,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_token_counts": op9_token_counts,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
