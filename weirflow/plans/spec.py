@@ -108,9 +108,16 @@ class PipelineSpec(BaseModel):
     dead_letter: DeadLetterSpec | None = None
 
 
+def _named(data: Any) -> Any:
+    """data with keys as they were written: YAML takes a bare `on` for true."""
+    if isinstance(data, dict):
+        return {("on" if k is True else k): _named(v) for k, v in data.items()}
+    return [_named(v) for v in data] if isinstance(data, list) else data
+
+
 def parse(text: str) -> PipelineSpec:
     """A spec from YAML. Name, version and mode may stand under pipeline, or at the top."""
-    data = yaml.safe_load(text)
+    data = _named(yaml.safe_load(text))
     if not isinstance(data, dict):
         raise ValueError("not a pipeline: a mapping is needed")
     head = data.pop("pipeline", None)
