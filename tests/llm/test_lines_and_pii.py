@@ -1,0 +1,151 @@
+"""Line dedup and pseudonyms: both in SQL functions only."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.llm import linededup, pii, queries
+
+# Line dedup
+
+
+def slow_dedup(rows, min_words, keys):
+    """Every run of at least so many words, by hand: all its occurrences but the earliest go. {(doc_id, text): places}."""
+    occurrences = defaultdict(list)
+    lines = {k: [x.strip(" ") for x in k[1].split("\n")] for k in set(rows) if k[1] is not None}
+    for k in sorted(lines, key=lambda k: (k[0] is None, k[0] or 0, keys[k[1]])):
+        for a in range(len(lines[k])):
+            words = 0
+            for b in range(a, len(lines[k])):
+                words += lines[k][b].count(" ") + 1
+                if words >= min_words:
+                    occurrences[tuple(lines[k][a : b + 1])].append((k, a))
+    gone = defaultdict(set)
+    for run, places in occurrences.items():
+        for k, a in places[1:]:
+            gone[k].update(range(a, a + len(run)))
+    return gone
+
+
+def check_lines(spark, rows, min_words):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as pos", "2 as key")
+    keys = {r.text: r.k for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    gone = slow_dedup(rows, min_words, keys)
+    want = sorted(((i, t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[(i, t)])) for i, t in rows), key=str)
+    got = linededup.drop_repeated_lines(df, min_words)
+    assert got.columns == df.columns
+    found = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found)
+
+
+@pytest.mark.parametrize(("seed", "min_words"), [(1, 4), (2, 7), (3, 12), (4, 1)])
+def test_runs_against_all_runs(spark, seed, min_words):
+    rng = random.Random(seed)
+    pool = ["a b", "c", "", "d e f", "g", "h i j k", " c "]
+    rows = [(rng.randint(0, 25), "\n".join(rng.choice([*pool, f"u{rng.randint(0, 10**6)} x"]) for _ in range(rng.randint(0, 12)))) for _ in range(30)]
+    rows += [rows[0], rows[1], (99, rows[2][1]), (98, "x\n" + rows[3][1]), (None, rows[4][1]), (97, None), (96, "")]
+    check_lines(spark, rows, min_words)
+
+
+def test_long_copies_and_hot_lines(spark):
+    long = "\n".join(f"line {i} of a long passage" for i in range(120))
+    rows = [(i, f"head {i}\n{long if i % 3 == 0 else 'own text ' * i}\nsame footer\nsame footer\n") for i in range(12)]
+    check_lines(spark, rows, 50)
+    assert linededup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_line_query_keeps_rows_and_short_repeats(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    check_lines(spark, docs, linededup.MIN_WORDS)
+    got = queries.op8_line_dedup(spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def native(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|RDD", plan), plan
+
+
+def test_both_are_native(spark, sf_dir):
+    native(queries.op8_line_dedup(spark, sf_dir))
+    native(queries.op6_pii_pseudonyms(spark, sf_dir))
+
+
+# Pseudonyms
+
+
+def pseudonyms(spark, texts, key=pii.DEMONSTRATION_KEY):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r["values"]) for r in pii.pseudonymize(df, key).orderBy("doc_id").collect()]
+
+
+def luhn(number):
+    digits = [int(d) for d in re.sub(r"\D", "", number)][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def shape_of(text):
+    return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", text)))
+
+
+VALID = ["bob.92@mail4.example.com", "4111111111111111", "5500-0055-5555-5559", "2024-02-29", "03.04.1999", "+1 (017) 555-7713", "(212) 555-1234", "+49 30 1234 5678", "123-45-6789", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "GB82 WEST 1234 5698 7654 32", "12/25/2020"]
+INVALID = ["4111111111111112", "2023-02-29", "99/99/2020", "256.1.1.1", "1.2.3.4.5", "000-12-3456", "GB83WEST12345698765432", "x@y", "CC BY-NC 4.0.", "12345", "version 3.", "b44e15e09f"]
+
+
+def test_formats_stay_and_values_change(spark):
+    for v, (text, n) in zip(VALID, pseudonyms(spark, [f"a {v}, b" for v in VALID]), strict=True):
+        new = text[2:-3]
+        assert n == 1 and text == f"a {new}, b" and new != v, v
+        assert shape_of(new) == shape_of(v) or v.startswith(("b44", "9233")), (v, new)
+    for v, got in zip(INVALID, pseudonyms(spark, [f"a {v} b" for v in INVALID]), strict=True):
+        assert got == (f"a {v} b", 0)
+
+
+def test_results_are_valid_again(spark):
+    cards = ["4111111111111111", "378282246310005", "6011 1111 1111 1117"]
+    assert all(luhn(t) for t, _ in pseudonyms(spark, cards))
+    for text, n in pseudonyms(spark, ["97.51.17.173", "0.0.0.0"]):
+        assert n == 1 and all(0 <= int(x) <= 255 for x in text.split("."))
+    (text, _), *_ = pseudonyms(spark, ["DE89370400440532013000"])
+    turned = text[4:] + text[:4]
+    assert text.startswith("DE") and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+    dates = [(date(1850, 1, 1) + timedelta(days=997 * i)).isoformat() for i in range(60)]
+    moved = [t for t, _ in pseudonyms(spark, dates)]
+    assert len({date.fromisoformat(t) for t in moved}) == 60
+
+
+def test_equal_values_are_linked_and_others_apart(spark):
+    rng = random.Random(5)
+    phones = [f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}" for _ in range(150)]
+    got = [t for t, _ in pseudonyms(spark, [f"call {p}" for p in phones] + [f"{p}!! {p}" for p in phones])]
+    by_phone = dict(zip(phones, (t[5:] for t in got[:150]), strict=True))
+    assert len(set(by_phone.values())) == len(set(phones))
+    assert got[150:] == [f"{by_phone[p]}!! {by_phone[p]}" for p in phones]
+    other = [t for t, _ in pseudonyms(spark, [f"call {p}" for p in phones], "another key")]
+    assert sum(a == b for a, b in zip(got, other, strict=False)) < 3
+
+
+def test_a_small_format_is_permuted(spark):
+    """All values of a format of two digits, through the same network."""
+    df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("value"))
+    got = [r[0] for r in df.select(F.expr(pii._feistel("value", "k", "x"))).collect()]
+    assert sorted(got) == sorted(f"{i:02d}" for i in range(100)) and got != sorted(got)
+    numbers = spark.range(77).select(F.expr(pii._feistel_numbers("id", (7, 11), "k", "x")))
+    assert sorted(r[0] for r in numbers.collect()) == list(range(77))
+
+
+def test_odd_texts(spark):
+    texts = [None, "", "4111111111111111", "é 4111111111111111\n4111111111111111 漢", "1" * 50_000, "a@" * 5000, "4111111111111111 " * 500]
+    got = pseudonyms(spark, texts)
+    assert got[0] == (None, 0) and got[1] == ("", 0) and got[4] == (texts[4], 0) and got[5] == (texts[5], 0)
+    assert got[3][1] == 2 and got[3][0] == f"é {got[2][0]}\n{got[2][0]} 漢" and got[6][1] == 500
+    df = spark.createDataFrame([(1, "4111111111111111", "x"), (1, "4111111111111111", "x"), (None, None, None)], "doc_id long, text string, values string")
+    out = pii.pseudonymize(df)
+    assert out.columns == ["doc_id", "text", "values"] and out.count() == 3 and pii.pseudonymize(df.limit(0)).collect() == []

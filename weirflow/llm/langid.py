@@ -96,10 +96,10 @@ class Model:
                 counts[g][k] = times
         kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))[:GRAMS]
         self.grams = {g: i for i, g in enumerate(kept)}
-        seen = np.array([counts[g] for g in kept]).reshape(-1, n) + 0.5
-        logs = np.log(seen / np.maximum(seen.sum(0), 1)) if n else seen
+        seen = np.array([counts[g] for g in kept]).reshape(len(kept), n) + 0.5
+        logs = np.log(seen / np.maximum(seen.sum(0), 1))
         #: What n-grams of a word add up to, as evidence against the mean of all languages; the last row is for unknown ones.
-        self.table = np.vstack([logs - logs.mean(1, keepdims=True), np.zeros((1, n))]).astype(np.float32) / len(ORDERS)
+        self.table = np.vstack([logs - logs.sum(1, keepdims=True) / max(n, 1), np.zeros((1, n))]).astype(np.float32) / len(ORDERS)
         total = sum(letters.values(), np.zeros(n)) + 1e-9
         self.scripts = {s: np.where(v / total >= SCRIPT_SHARE, 0.0, FOREIGN).astype(np.float32) for s, v in letters.items() if (v / total >= SCRIPT_SHARE).any()}
 
@@ -127,8 +127,8 @@ def viterbi(scores: np.ndarray, words: list[np.ndarray], switch: float = SWITCH)
     """
     order = sorted(range(len(words)), key=lambda i: -len(words[i]))
     sizes = np.array([len(words[i]) for i in order])
-    if not len(sizes) or not sizes[0]:
-        return [np.empty(0, np.int8) for _ in words]
+    if not len(sizes) or not sizes[0] or not scores.shape[1]:
+        return [np.zeros(len(w), np.int16) for w in words]
     offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     flat = np.concatenate([words[i] for i in order])
     langs = scores.shape[1]
@@ -268,10 +268,12 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """docs without those whose text is UNKNOWN; all columns stay."""
+    """docs without those whose text is UNKNOWN; all columns stay. If no language was learned, text with a letter stays."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
+        if not sent.value.langs:
+            return lambda texts: [any(map(str.isalpha, t or "")) for t in texts]
         labeller = Labeller(sent.value, switch)
         return lambda texts: [lang != UNKNOWN for lang, _, _ in labeller.predict(texts)]
 
