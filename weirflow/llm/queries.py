@@ -99,5 +99,21 @@ FROM t GROUP BY conv_id
 """
 
 
+#: By lists: for each line, the shortest run of 50 words from it and up to it; all but a run's first occurrence go.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, [trim(x) FOR x IN raw] AS lines, [length(trim(x)) - length(replace(trim(x), ' ', '')) + 1 FOR x IN raw] AS w FROM d),
+p AS (SELECT doc_id, lines, w, [list_sum(w[1:i]) FOR i IN range(1, len(w) + 1)] AS c FROM l),
+r AS (SELECT doc_id, lines, w, c, unnest(range(1, len(lines) + 1)) AS i FROM p),
+ends AS (SELECT doc_id, lines, i AS s, i - 1 + list_position([x - c[i] + w[i] >= 50 FOR x IN c[i:]], true) AS e FROM r
+  UNION SELECT doc_id, lines, len([k FOR k IN range(1, i + 1) IF c[i] - c[k] + w[k] >= 50]) AS s, i AS e FROM r),
+later AS (SELECT doc_id, s, e FROM ends WHERE s > 0 AND e >= s QUALIFY row_number() OVER (PARTITION BY lines[s:e] ORDER BY doc_id, s) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, e + 1)) AS i FROM later) GROUP BY doc_id),
+kept AS (SELECT doc_id, array_to_string([raw[i] FOR i IN range(1, len(raw) + 1) IF NOT list_contains(gone, i)], chr(10)) AS new FROM d JOIN gone USING (doc_id))
+SELECT documents.doc_id, coalesce(new, text) AS text, CASE WHEN new IS NULL THEN n_chars ELSE length(new) END AS n_chars
+FROM documents LEFT JOIN kept ON documents.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op10_chat_formatting": OP10_SQL}
