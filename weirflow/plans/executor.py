@@ -59,7 +59,6 @@ class Executor:
                             if len(running) == self.max_parallel:
                                 break
                             state.step_started(s)
-                            state.steps[s].attempts = 0
                             run = inheritable_thread_target(self.spark)(self._run) if self.spark else self._run
                             running[pool.submit(run, s)] = s
                     if not running:
@@ -87,7 +86,7 @@ class Executor:
                 pause = min(2 * pause, BACKOFF_MOST)
                 if state.status.over:
                     return
-            state.step_started(name) if state.steps[name].status is Status.RUNNING else None
+            state.step_tried(name)
             try:
                 out = self._call(name)
                 break

@@ -86,8 +86,12 @@ class RunState:
     def step_started(self, step: str) -> None:
         with self._lock:
             s = self.steps[step]
-            self._expect(s.status, Status.PENDING, Status.RUNNING)
-            s.status, s.started, s.attempts = Status.RUNNING, s.started or _now(), s.attempts + 1
+            self._expect(s.status, Status.PENDING)
+            s.status, s.started = Status.RUNNING, _now()
+
+    def step_tried(self, step: str) -> None:
+        with self._lock:
+            self.steps[step].attempts += 1
 
     def step_done(self, step: str, output_records: int | None = None) -> None:
         with self._lock:
