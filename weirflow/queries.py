@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -493,10 +494,9 @@ def parquet_round_trip(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def sqlite_query(spark, sf_dir):
-    """The rows are few: a supplier table's."""
-    import tempfile
-
-    path = f"{tempfile.mkdtemp()}/suppliers.db"
+    """The rows are few: a supplier table's. The file lies in the shared folder, where executors see it."""
+    path = _place(spark, "sqlite").removeprefix("file://") + ".db"
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     io.SQLiteDatabase(path, "supplier").write(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"))
     return io.SQLiteDatabase(path, query="SELECT * FROM supplier WHERE s_acctbal > ?", params=(0,)).read(spark)
 
