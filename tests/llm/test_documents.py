@@ -364,6 +364,12 @@ def test_paths_of_trees(spark):
         assert [r.leaf for r in sorted((r for r in best if r.conv_id == conv), key=lambda r: r.branch)] == [leaf for _, leaf in ranked[:2]]
 
 
+def test_cycles_have_no_path(spark):
+    nodes = [(1, n, p, "user", f"t{n}", 0.0) for n, p in ((1, 2), (2, 3), (3, 1), (4, 2), (5, 5), (6, None), (7, 6))]
+    df = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
+    assert [(r.leaf, [t.text for t in r.turns]) for r in chat.reply_paths(df, 0).collect()] == [(7, ["t6", "t7"])]
+
+
 def test_chat_of_odd_tables(spark):
     rows = [(1, None, None, None), (1, 0, "assistant", None), (1, 0, "assistant", None), (None, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as node", "2 as score")

@@ -70,8 +70,8 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """Rows (conv_id, branch, depth, role, text): the chosen root-to-leaf paths, branch 1 being the best of its conversation.
 
     A path's score is the mean of its nodes' scores, NULL as 0; ties go to the smaller leaf. branches=0 keeps all. A node
-    whose parent is NULL or missing is a root. Nodes of a conversation are told apart by node; a reply cycle has no leaf
-    and gives no path. Texts join in at the end only.
+    whose parent is NULL or missing is a root. Nodes of a conversation are told apart by node; a leaf whose ancestors run
+    into a cycle has no root and gives no path. Texts join in at the end only.
     """
     require(nodes, "conv_id", "node", "parent", "role", "text", "score")
     links = materialize(nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-links")
@@ -80,8 +80,9 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     inner = jump.select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
     leaves = links.join(inner, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
     paths = leaves.select("conv_id", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("above"), "node")
+    most = links.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while True:
+    while step <= most:  # beyond that, only cycles go on
         jump = materialize(jump, "chat-jump")
         if jump.isEmpty():
             break
@@ -89,11 +90,12 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))
         paths = materialize(paths.unionByName(paths.join(hop, on).select("conv_id", "leaf", (F.col("above") + step).alias("above"), F.col("up").alias("node"))), "chat-paths")
         jump = jump.withColumnRenamed("up", "middle").join(hop, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("middle") == F.col("n"))).select("conv_id", "node", "up")
-        jump = jump.where(F.col("node") != F.col("up"))
         step *= 2
     keyed = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     full = paths.join(keyed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).drop("c", "n")
-    per_path = full.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("depth"), "role", "text"))).alias("turns"), F.avg("score").alias("score"))
+    per_path = full.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("depth"), "node", "role", "text"))).alias("turns"), F.avg("score").alias("score"))
+    # A path that has run into a cycle repeats nodes; no other does.
+    per_path = per_path.where(F.size("turns") == F.size(F.array_distinct(F.transform("turns", lambda t: t["node"]))))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))
     ranked = per_path.withColumn("branch", rank)
     return (ranked.where(F.col("branch") <= branches) if branches else ranked).select("conv_id", "branch", "leaf", "score", "turns")
