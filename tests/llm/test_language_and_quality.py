@@ -73,7 +73,7 @@ def test_scripts_narrow_candidates(model):
 
 
 def test_odd_texts_have_no_language(model):
-    got = list(langid.Labeller(model).predict([None, "", " \n", "123 !!", "a" * 300_000, "x " * 50_000]))
+    got = list(langid.Labeller(model).predict([None, "", " \n", "123 !! ²½ Ⅷ_", "a" * 300_000, "x " * 50_000]))
     assert [r[0] for r in got[:4]] == ["und"] * 4 and all(r[1] == 0 for r in got[:4]) and all(r[0] != "und" for r in got[4:])
     assert next(langid.Labeller(model).predict(["漢字"]))[1] <= 0.5
 

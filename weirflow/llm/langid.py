@@ -55,7 +55,11 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def core(part: str) -> str:
     """The letters of what stands between white space, in lower case."""
-    return part.lower() if part.isalpha() else _NOT_LETTERS.sub("", part).lower()
+    if not part.isalpha():
+        part = _NOT_LETTERS.sub("", part)
+        if not part.isalpha():  # superscripts and the like
+            part = "".join(filter(str.isalpha, part))
+    return part.lower()
 
 
 def script(word: str) -> str:
@@ -232,7 +236,7 @@ def train(docs: DataFrame, held_out: int = 1, folds: int = 3, sample: int = SAMP
     How many documents each language has is counted over all documents.
     """
     require(docs, "doc_id", "text", "lang")
-    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (id_text_crc("doc_id", folds) != held_out))
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (id_text_crc("doc_id", folds) != held_out))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOP_LANGUAGES).collect()
     steps = 1 << 30
     share = F.lit(0)
