@@ -36,7 +36,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines in stretches of at least min_words words, and how many lines a run from, or up to, each has to have."""
-    often = lines.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2"))
+    # A table of its own, so that both sides of the join are dealt out for it, and a very common line can be split.
+    often = materialize(lines.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2")), "line-ids")
     again = lines.join(often, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_semi")
     again = again.dropDuplicates(["doc_id", "key", "pos"])
     by_doc = Window.partitionBy("doc_id", "key").orderBy("pos")
