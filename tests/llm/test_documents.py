@@ -71,6 +71,13 @@ def test_successors_in_odd_tables(spark, buckets):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+@pytest.mark.parametrize("buckets", [4, 12, 51])
+def test_successors_over_many_ranges(spark, buckets):
+    df = spark.range(1000).selectExpr("id * 3 as doc_id", "cast(id as string) as text").repartition(4)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next_text(df, buckets).collect()}
+    assert got == {3 * i: str(i - 1 if i else 999) for i in range(1000)}
+
+
 # Decontamination
 
 

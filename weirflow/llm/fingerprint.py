@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import require
 
@@ -29,8 +28,8 @@ OFFSETS = (0, 3, 7)
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Quartile codes one, two and three steps apart cost so much; unrelated texts come near the mean of it.
 STEP = np.array([0, 1, 3, 6])
-#: Bytes hashed at once, to bound memory on very long texts.
-CHUNK = 1 << 20
+#: Bytes hashed at once, to bound memory on very long texts, and rows that a task takes out of a batch at once.
+CHUNK, ROWS = 1 << 20, 256
 
 
 def _counts(data: bytes) -> np.ndarray:
@@ -78,50 +77,72 @@ def likeness(left: str, right: str) -> float:
     return max(0.0, 1.0 - apart - 0.1 * longer)
 
 
-SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("next_text", StringType())])
+def _above(cuts: list[int]) -> Column:
+    """How many of the cuts, in descending order, are over doc_id: by groups first, then within one."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    over = lambda array: F.array_size(F.filter(array, lambda c: c > F.col("doc_id")))
+    whole = over(F.lit([g[-1] for g in groups]).cast("array<bigint>"))
+    within = F.get(F.array(*(F.lit(g).cast("array<bigint>") for g in groups)), whole)
+    # The last group may be short, and nothing is within once all groups are over.
+    return F.least(whole * width, F.lit(len(cuts))) + F.coalesce(over(within), F.lit(0))
 
 
-def with_next_text(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text and the text of the next document in descending doc_id (after the last: the first).
+def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text, range and whether a row is a guest there, in order within tasks.
 
     Documents go to ranges of doc_id, cut at quantiles over all ids. The first document of each range also goes, as a
-    guest, to the range before it, so that each range sees every successor of its own rows in one ordered pass; one row
-    is held at a time. What comes to the driver is one row for each range. Order is by doc_id descending, NULL last, and
-    rows with one doc_id by their text.
+    guest, to the range before it, so that each range sees every successor of its own rows in one ordered pass. What comes
+    to the driver is one row for each range.
     """
     require(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets + 1000)).first()[0]
     cuts = sorted(set(cuts or []), reverse=True)
     # Range 0 has the largest ids; a NULL id lies in a range of its own at the end.
-    number = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c > F.col("doc_id")))
-    home = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(number)
-    heads = docs.select("doc_id", home.alias("home")).groupBy("home").agg(F.max("doc_id").alias("head")).orderBy("home").collect()
+    home = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_above(cuts))
+    heads = {r["home"]: r["head"] for r in docs.select("doc_id", home.alias("home")).groupBy("home").agg(F.max("doc_id").alias("head")).collect()}
     if not heads:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    homes = [r["home"] for r in heads]
-    before = {h: homes[i - 1] for i, h in enumerate(homes)}
-    guest: Column = F.lit(None).cast("int")
-    for r in heads:
-        guest = F.when(F.col("doc_id").eqNullSafe(F.lit(r["head"])), F.lit(before[r["home"]])).otherwise(guest)
+        return docs.select("doc_id", "text", F.lit(0).alias("to"), F.lit(0).alias("guest"))
+    homes = sorted(heads)
+    before = dict(zip(homes, [homes[-1], *homes], strict=False))
+    every = range(len(cuts) + 2)
+    head = F.get(F.lit([heads.get(h) for h in every]).cast("array<bigint>"), F.col("home"))
+    guest = F.when(F.col("doc_id").eqNullSafe(head), F.get(F.lit([before.get(h) for h in every]).cast("array<int>"), F.col("home")))
     dealt = docs.select("doc_id", "text", home.alias("home")).select(
         "doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("home").alias("to"), F.lit(0).alias("guest")), F.struct(guest.alias("to"), F.lit(1).alias("guest"))), lambda s: s["to"].isNotNull())).alias("s")
     )
-    dealt = dealt.select("doc_id", "text", "s.to", "s.guest").repartition(buckets, "to")
-    dealt = dealt.sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), "text")
+    dealt = dealt.select("doc_id", "text", "s.to", "s.guest").repartitionById(len(cuts) + 2, F.col("to").cast("int"))
+    return dealt.sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose successor comes next
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text, to, is_guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+
+def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, str]]]:
+    """Some rows at a time: doc_id, text and the next document's text, from the rows of _dealt()."""
+    held = None  # the row whose successor comes next
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            out = []
+            for doc, text, to, guest in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True):
                 if held and held[2] == to:
                     out.append((held[0], held[1], text))
-                held = None if is_guest else (doc, text, to)
+                held = None if guest else (doc, text, to)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "text", "next_text"])
+                yield out
+
+
+def with_next_text(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text and the text of the next document in descending doc_id (after the last: the first).
 
-    return dealt.mapInArrow(run, SCHEMA)
+    Order is by doc_id descending, NULL last, and rows with one doc_id by their text; a NULL text is taken as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _successors(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "text", "next_text"])
+
+    return _dealt(docs, buckets).mapInArrow(run, "doc_id long, text string, next_text string")
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -140,19 +161,19 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFr
     its own successor. Rows that repeat a doc_id each give a row. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pairs = with_next_text(docs, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = [f.strip().split(" ")[0] for f in FINGERPRINTS.split(",")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[str, str] = ("", digest(""))  # the next row's text is this row's next text
-        for batch in batches:
+        for rows in _successors(batches):
             out = []
-            for doc, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, following in rows:
                 own = known[1] if known[0] == text else digest(text)
                 known = (following, digest(following))
                 changed = edited(text, following)
                 after = digest(changed)
                 out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, after, likeness(own, after), likeness(own, known[1])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[f.strip().split(" ")[0] for f in FINGERPRINTS.split(",")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds, strict=True)], names=names)
 
-    return pairs.mapInArrow(run, FINGERPRINTS)
+    return _dealt(docs, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, FINGERPRINTS)
