@@ -1,0 +1,48 @@
+from __future__ import annotations
+
+from itertools import combinations
+
+import corpus_pipeline
+import numpy as np
+from test_simhash import classes
+
+from weirflow.llm import shingles
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def slow_kept(rows):
+    sets = [slow_set(t) for _, t in rows]
+    alike = lambda x, y: x == y or 10 * len(x & y) >= 8 * len(x | y)
+    roots = classes(range(len(rows)), ((i, j) for i, j in combinations(range(len(rows)), 2) if alike(sets[i], sets[j])))
+    return sorted({r: min(rows[i][0] for i in roots if roots[i] == r) for r in roots.values()}.values())
+
+
+def test_the_stage_keeps_one_of_what_shares_four_fifths_of_its_five_word_shingles(spark, sf_dir, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, n)) for n in (6, 40, 120, 300, 300, 700)]
+    rows = [(i, t) for i, t in enumerate([None, "", "one two", "One  two", *texts])]
+    for base in texts:  # copies on both sides of 0.8
+        for edits in range(1, 14):
+            own = base.split(" ")
+            for at in rng.choice(len(own), min(edits, len(own) - 1), replace=False):
+                own[at] = "edited"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_kept(rows)
+    assert 10 < len(want) < len(rows) - 20
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()) == want
+    monkeypatch.setattr(shingles, "OFTEN", 10**9)  # another order, the same pairs
+    assert sorted(r.doc_id for r in shingles.keep_one(df).collect()) == want
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (1, "a quite different text of words"), (2, long + " more"), (None, long), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in shingles.keep_one(df).collect()) == [(0, ""), (0, long), (1, "a quite different text of words"), (1, long)]
+    assert shingles.keep_one(df.limit(0)).collect() == []

@@ -1,0 +1,168 @@
+"""Near duplicates by sets of five-word shingles: every pair of a Jaccard similarity of 0.8 or more, checked exactly.
+
+Two sets of n and m shingles, n >= m, with that similarity share at least 0.8 n of them. So however all shingles are ordered,
+each pair shares a shingle among the first n - ceil(0.8 n) + 1 of either set, its head; no pair is missed. The order puts
+those that a sample found in several documents last, which keeps the groups of sets that share a shingle of their heads small;
+the sample bears on the work only, not on the result. How many shingles two heads share bounds what the whole sets can
+share, and pairs under the bound aren't read. First, each set is checked against one other that it shares much with; only
+pairs that those links leave apart are then listed, so a large group of near copies isn't compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import Recent, materialize, require
+from .components import connected_components
+
+WORDS = 5
+#: Texts in the sample, the times from which a shingle of it is put last, and how many of these are told apart.
+SAMPLE, OFTEN, MOST_OFTEN = 20_000, 4, 50_000
+#: Words with hashes that a task keeps, twice.
+CACHE = 200_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(27)
+
+
+class Shingler:
+    """Texts as sets of shingle hashes, with a cache of words."""
+
+    def __init__(self):
+        self.words = Recent(xxhash.xxh64_intdigest, CACHE)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted hashes. Words are as in simhash.fingerprint; a text of fewer than WORDS is one shingle, one without words none."""
+        parts = (text or "").encode().lower().split()
+        if not parts:
+            return np.empty(0, np.uint64)
+        own = np.fromiter(map(self.words.__getitem__, parts), np.uint64, len(parts))
+        width = min(WORDS, len(parts))
+        n = len(parts) - width + 1
+        out = np.full(n, width, np.uint64)
+        for i in range(width):
+            out = _mixed((out + own[i : i + n]) * _MIX)
+        return np.unique(out)
+
+
+def _set_column(column: int, shingler: Shingler, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return map(shingler, batch.column(column).to_pylist())
+
+
+def _listed(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """text_key and set, from text_key and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(list(_set_column(1, shingler, batch)))], names=["text_key", "set"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key long, set array<long>")
+
+
+def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and in how many they are."""
+    steps = 1 << 30
+    share = min(steps, steps * SAMPLE // max(texts.count(), 1))
+    sample = _shingled(texts.where(F.pmod("text_key", F.lit(steps)) < share).dropDuplicates(["text_key"]))
+    found = sample.select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
+    pairs = sorted((r["h"] % (1 << 64), r["count"]) for r in found)
+    return np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+
+
+def _headed(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, text_key, key of the set, its size and its head."""
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def head(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+        n = len(own)
+        first = n - (4 * n + 4) // 5 + 1 if n else 0
+        if n and len(common):
+            at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+            own = own[np.argsort(np.where(common[at] == own, times[at], 0), kind="stable")]
+        return own[:first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            sets = list(_set_column(2, shingler, batch))
+            keys = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), sizes, _listed([head(s, *sent.value) for s in sets])], names=["doc_id", "text_key", "key", "n", "head"])
+
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, key long, n long, head array<long>")
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more. Only their texts are read again."""
+    pairs = materialize(pairs.select("a", "b"), "shingle-pairs")
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    read = sets.select("key", "text_key").join(needed, "key")
+    there = texts.select("text_key", "text").join(read.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    found = materialize(read.join(_shingled(there), "text_key").select("key", "set"), "shingle-sets")
+    both = pairs.join(found.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+
+
+def _links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs of sets connect. sets: distinct key, text_key, n and head."""
+    each = Window.partitionBy("h")
+    heads = sets.select("key", "n", F.explode("head").alias("h")).withColumn("of", F.count(F.lit(1)).over(each)).withColumn("least", F.min(F.struct("key", "n")).over(each))
+    heads = materialize(heads.where("of > 1").select("h", "key", "n", "least"), "shingle-heads")
+
+    stars = heads.where((F.col("key") != F.col("least.key")) & _sizes_fit(F.col("n"), F.col("least.n"))).groupBy("key", F.col("least.key").alias("b")).count()
+    first = materialize(_alike(stars.groupBy(F.col("key").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b")), sets, texts), "shingle-links")
+
+    roots = connected_components(first, "a", "b")
+    named = heads.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+    named = named.withColumn("low", F.min("root").over(each)).withColumn("high", F.max("root").over(each)).where("low < high").select("h", "key", "n", "root")
+    named = materialize(named, "shingle-apart")
+    other = named.select(F.col("h").alias("h2"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    met = named.join(other, (F.col("h") == F.col("h2")) & (F.col("key") < F.col("b")) & (F.col("root") != F.col("root2")) & _sizes_fit(F.col("n"), F.col("m")))
+    shared = met.groupBy(F.col("key").alias("a"), "b", "n", "m").count()
+    # A common shingle is in both heads, or behind one of them.
+    behind = lambda n: F.floor((F.col(n) * 4 + 4) / 5) - 1
+    open_ = shared.where((F.col("count") + F.greatest(behind("n"), behind("m"))) * 9 >= (F.col("n") + F.col("m")) * 4)
+    return first.union(_alike(open_, sets, texts))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and root (equal for rows of one class) of each row."""
+    require(docs, "doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    own = materialize(_headed(texts, _often(texts)), "shingles")
+    sets = materialize(own.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("head").alias("head")), "shingle-classes")
+    roots = materialize(connected_components(_links(sets, texts), "a", "b"), "shingle-roots")
+    return own.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of each class, the row with the smallest doc_id stays, once.
+
+    Rows whose sets of shingles have a Jaccard similarity of 0.8 or more are linked; a class is what links connect. Equal
+    sets are linked, those of texts without words and of NULL texts included. All columns stay. A row with a NULL doc_id
+    can't be told from others and stays.
+    """
+    of_class = _classes(docs).where(F.col("doc_id").isNotNull())
+    first = of_class.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select(F.col("f.doc_id").alias("__weir_kept"), F.col("f.text_key").alias("__weir_text"))
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, (F.col("doc_id") == F.col("__weir_kept")) & (F.xxhash64("text") == F.col("__weir_text")))
+    kept = named.dropDuplicates(["__weir_kept", "__weir_text"]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
