@@ -115,3 +115,20 @@ def test_training_never_sees_the_held_out_fold(spark):
 
 def test_shapes():
     assert [quality.shape(p) for p in ("Hello", "HELLO!!!", "a1", "|", "the***")] == ["Aaa", "AA!!", "a9", "|", "aa**"]
+
+
+def test_a_text_without_spaces_is_read_to_its_end(model):
+    english, german = "thecatandthedogareinthehouse" * 4, "derhundunddiekatzesindnichtaufdemhaus" * 12
+    (lang, _, spans), (_, _, apart) = langid.Labeller(model, 3.0).predict([english + german, "cat " + english + "кот" * 60 + " кот"])
+    assert lang == "de" and spans[0] == ("en", 0, 1) and ("de", 0, 1) in spans
+    assert apart[0][0] == "en" and apart[-1] == ("ru", 1, 3)
+    word = "abcdefgh" * 40 + "xyz"
+    cut = langid.pieces(word)
+    assert "".join(p[0] for p in cut) == word
+    assert sorted(t[j : j + n] for _, t, k in cut for n in langid.ORDERS for j in range(min(k, len(t) - n + 1))) == sorted(langid.grams(word))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 230:03d}", "the cat") for i in range(1380)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.langs == sorted({lang for i, lang, _ in rows if fold(i, 3) != 1}) and len(model.langs) > 200

@@ -22,9 +22,11 @@ from .common import Recent, filter_rows, id_text_crc, require
 
 #: Nats that a change of language costs; about what three clear words bring in.
 SWITCH = 12.0
-#: The classifier is fitted on about so many documents of each language, of at most TOP_LANGUAGES languages by frequency,
-#: taken by a hash of their id; none of over SAMPLE_CHARS.
-SAMPLE, TOP_LANGUAGES, SAMPLE_CHARS = 600, 200, 200_000
+#: The classifier is fitted on about so many documents of each language that occurs, taken by a hash of their id; none of
+#: over SAMPLE_CHARS.
+SAMPLE, SAMPLE_CHARS = 600, 200_000
+#: Letters of a longer word that go through the Viterbi pass as one.
+PIECE = 64
 ORDERS = (1, 2, 3, 4)
 #: n-grams kept, by frequency, and the least share of a language's letters that makes a script one of its own.
 GRAMS, SCRIPT_SHARE = 200_000, 0.01
@@ -74,6 +76,21 @@ def grams(word: str) -> list[str]:
     return [s[i : i + n] for n in ORDERS for i in range(len(s) - n + 1)]
 
 
+def pieces(word: str) -> list[tuple[str, str, int]]:
+    """A word in pieces of PIECE letters: (letters, text with context, n-grams of each order that begin there).
+
+    Each n-gram of the word begins in one piece, so that the pieces' n-grams are those of the word.
+    """
+    n = len(word)
+    s = f" {word} "
+    out = []
+    for a in range(0, n, PIECE):
+        b = min(a + PIECE, n)
+        start, end = a + 1 if a else 0, b + 1 if b < n else n + 2
+        out.append((word[a:b], s[start : end + ORDERS[-1] - 1], end - start))
+    return out
+
+
 class Model:
     """Scores of letter n-grams for each language, and the scripts that languages are written in."""
 
@@ -84,7 +101,8 @@ class Model:
         for lang, text in sample:
             words[lang].update(text.split())
         n = len(self.langs)
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
+        counts: list[Counter] = []
+        total_count: Counter = Counter()
         letters: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         for k, lang in enumerate(self.langs):
             cores: Counter = Counter()
@@ -96,28 +114,35 @@ class Model:
                     letters[script(w)][k] += times * len(w)
                     for g in grams(w):
                         own[g] += times
-            for g, times in own.items():
-                counts[g][k] = times
-        kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))[:GRAMS]
+            counts.append(own)
+            total_count.update(own)
+        kept = sorted(total_count, key=lambda g: (-total_count[g], g))[:GRAMS]
         self.grams = {g: i for i, g in enumerate(kept)}
-        seen = np.array([counts[g] for g in kept]).reshape(len(kept), n) + 0.5
+        seen = np.full((len(kept), n), 0.5)
+        for k, own in enumerate(counts):
+            seen[:, k] += np.fromiter((own[g] for g in kept), np.float64, len(kept))
         logs = np.log(seen / np.maximum(seen.sum(0), 1))
         #: What n-grams of a word add up to, as evidence against the mean of all languages; the last row is for unknown ones.
         self.table = np.vstack([logs - logs.sum(1, keepdims=True) / max(n, 1), np.zeros((1, n))]).astype(np.float32) / len(ORDERS)
         total = sum(letters.values(), np.zeros(n)) + 1e-9
         self.scripts = {s: np.where(v / total >= SCRIPT_SHARE, 0.0, FOREIGN).astype(np.float32) for s, v in letters.items() if (v / total >= SCRIPT_SHARE).any()}
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """A row for each word of letters; zeros for a word in a script that no language was seen in."""
+    def score(self, words: list[str | tuple[str, str, int]]) -> np.ndarray:
+        """A row for each word of letters, or piece of one; zeros for a word in a script that no language was seen in."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
         get, unknown = self.grams.get, len(self.grams)
         flat: list[int] = []
         starts, rows = [], []
-        for i, w in enumerate(words):
+        for i, word in enumerate(words):
+            w = word if isinstance(word, str) else word[0]
             if w and (s := self.scripts.get(script(w))) is not None:
                 starts.append(len(flat))
                 rows.append(i)
-                flat.extend([get(g, unknown) for g in grams(w[:64])])
+                if w is word:
+                    flat.extend([get(g, unknown) for g in grams(w)])
+                else:
+                    _, text, begun = word
+                    flat.extend([get(text[j : j + n], unknown) for n in ORDERS for j in range(min(begun, len(text) - n + 1))])
                 out[i] = s
         if rows:
             out[rows] += np.add.reduceat(self.table[flat], starts, axis=0)
@@ -173,13 +198,15 @@ class Labeller:
 
     def _forget(self) -> None:
         self.parts = Recent(self._row, CACHE)
-        self.rows: dict[str, int] = {}
-        self.new: list[str] = []
+        self.rows: dict[str | tuple[str, str, int], int] = {}
+        self.new: list[str | tuple[str, str, int]] = []
         self.scores = np.zeros((0, len(self.model.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
 
     def _row(self, part: str) -> int:
-        word = core(part)
+        return self._place(core(part))
+
+    def _place(self, word: str | tuple[str, str, int]) -> int:
         row = self.rows.get(word)
         if row is None:
             row = self.rows[word] = len(self.rows)
@@ -188,34 +215,54 @@ class Labeller:
 
     def _learn(self) -> None:
         self.scores = np.concatenate([self.scores, self.model.score(self.new)])
-        self.letters = np.concatenate([self.letters, np.fromiter(map(len, self.new), np.int64, len(self.new))])
+        self.letters = np.concatenate([self.letters, np.fromiter((len(w if isinstance(w, str) else w[0]) for w in self.new), np.int64, len(self.new))])
         self.new = []
 
-    def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text: rows of its words in self.scores, and the language number of each. Use them before the next."""
+    def _read(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Rows of the words; those of a word's pieces one after the other, and then the number of each row's word."""
+        if not parts or max(map(len, parts)) <= PIECE:
+            return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)), None
+        rows: list[int] = []
+        of: list[int] = []
+        for i, part in enumerate(parts):
+            if len(part) > PIECE and len(word := core(part)) > PIECE:
+                own = [self._place(p) for p in pieces(word)]
+            else:
+                own = [self.parts[part]]
+            rows += own
+            of += [i] * len(own)
+        return np.array(rows, np.int64), np.array(of, np.int64)
+
+    def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """For each text: rows of its words in self.scores, the language number of each, and the numbers of their words if
+        there are pieces. Use them before the next."""
         group: list[list[str]] = []
         size = 0
         for text in texts:
             parts = (text or "").split()
             group.append(parts)
-            size += len(parts)
+            size += len(parts) + len(text or "") // PIECE
             if size >= PASS_WORDS:
                 yield from self._pass(group)
                 group, size = [], 0
         yield from self._pass(group)
 
-    def _pass(self, group: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _pass(self, group: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         if len(self.rows) > CORES:
             self._forget()
-        words = [np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)) for parts in group]
+        read = [self._read(parts) for parts in group]
+        words = [rows for rows, _ in read]
         if self.new:
             self._learn()
-        yield from zip(words, viterbi(self.scores, words, self.switch), strict=True)
+        yield from zip(words, viterbi(self.scores, words, self.switch), (of for _, of in read), strict=True)
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
-        """For each text: its language, a score, and its spans (language, first word, word after the last)."""
+        """For each text: its language, a score, and its spans (language, first word, word after the last).
+
+        A word whose pieces are of several languages lies in the spans of each of them.
+        """
         langs = self.model.langs
-        for words, path in self.paths(texts):
+        for words, path, of in self.paths(texts):
             letters = self.letters[words]
             if not langs or not letters.any():
                 yield UNKNOWN, 0.0, []
@@ -227,22 +274,22 @@ class Labeller:
             sure = 1.0 / (1.0 + np.exp(-np.clip(lead / np.sqrt(len(words)), -30, 30)))
             cuts = np.flatnonzero(np.diff(path)) + 1
             edges = [0, *cuts.tolist(), len(path)]
-            yield langs[best], float(held[best] / held.sum() * sure), [(langs[int(path[a])], a, b) for a, b in zip(edges, edges[1:], strict=False)]
+            spans = [(langs[int(path[a])], *((a, b) if of is None else (int(of[a]), int(of[b - 1]) + 1))) for a, b in zip(edges, edges[1:], strict=False)]
+            yield langs[best], float(held[best] / held.sum() * sure), spans
 
 
 def train(docs: DataFrame, held_out: int = 1, folds: int = 3, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of documents with a language, outside of the held-out fold of crc32(doc_id).
 
-    How many documents each language has is counted over all documents.
+    How many documents each language has is counted over all documents; every language that occurs is learned. The model has
+    a number for each language and each of at most GRAMS n-grams.
     """
     require(docs, "doc_id", "text", "lang")
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (id_text_crc("doc_id", folds) != held_out))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TOP_LANGUAGES).collect()
     steps = 1 << 30
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == F.lit(r["lang"]), F.lit(min(steps, round(steps * sample / r["count"])))).otherwise(share)
-    picked = usable.where((F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share) & (F.length("text") <= SAMPLE_CHARS))
+    shares = {r["lang"]: min(steps, round(steps * sample / r["count"])) for r in usable.groupBy("lang").count().collect()}
+    of = F.map_from_arrays(F.lit(list(shares)).cast("array<string>"), F.lit(list(shares.values())).cast("array<bigint>"))
+    picked = usable.where((F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.element_at(of, F.col("lang"))) & (F.length("text") <= SAMPLE_CHARS))
     return Model([(r["lang"], r["text"]) for r in picked.select("lang", "text").collect()])
 
 
