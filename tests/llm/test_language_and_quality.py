@@ -132,3 +132,13 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"l{i % 230:03d}", "the cat") for i in range(1380)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     assert model.langs == sorted({lang for i, lang, _ in rows if fold(i, 3) != 1}) and len(model.langs) > 200
+
+
+def test_quality_reads_a_part_without_spaces_to_its_end():
+    reader = quality.Reader()
+    words, shapes, _ = reader.read("first,second/third")
+    assert len(set(words)) == 3 and words.tolist() == reader.read("first second third")[0].tolist() and len(shapes) == 1
+    long = "ab," * 100
+    for one, other in ((long + "x", long + "y"), ("." * 100 + "1", "." * 100 + "2")):
+        assert reader.read(one)[0].tolist() != reader.read(other)[0].tolist()
+    assert reader.read("." * 100 + "1")[1].tolist() != reader.read("." * 100 + "A")[1].tolist()

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -33,6 +34,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
 CUT = 0.3
 #: Parts of texts that a task keeps, twice, and parts pooled at once.
 CACHE, CHUNK = 200_000, 1 << 16
+#: Characters that have a shape of their own; a longer part has several, one after the other.
+PIECE = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,30 +45,30 @@ def _hash(s: str, bits: int) -> int:
 
 def shape(part: str) -> str:
     """Kinds of characters in a row: A, a or 9 for letters and digits, anything else itself; runs count as two at most."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in part[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in part)
     return re.sub(r"(.)\1+", r"\1\1", kinds)
 
 
-def _buckets(part: str) -> int:
-    """From what stands between white space to its word's bucket and its shape's, in one number."""
-    m = _LETTERS.search(part)
-    word = m[0].lower() if m else part[:40]
-    return _hash(word, WORD_BITS) << SHAPE_BITS | _hash(shape(part), SHAPE_BITS)
+def _buckets(part: str) -> tuple[list[int], list[int]]:
+    """From what stands between white space to buckets: of its runs of letters, or of itself, and of its pieces' shapes."""
+    words = [w.lower() for w in _LETTERS.findall(part)] or [part]
+    return [_hash(w, WORD_BITS) for w in words], [_hash(shape(part[i : i + PIECE]), SHAPE_BITS) for i in range(0, len(part), PIECE)]
 
 
 class Reader:
-    """Reads texts as numbers, with a cache of their parts."""
+    """Reads texts as buckets of words and of shapes, with a cache of their parts."""
 
     def __init__(self):
         self.parts = Recent(_buckets, CACHE)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers, and three shares."""
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' buckets, the shapes', and three shares."""
         parts = (text or "").split()
         n = len(parts)
-        ids = np.fromiter(map(self.parts.__getitem__, parts), np.int64, n)
+        found = list(map(self.parts.__getitem__, parts))
+        words, shapes = (np.fromiter(chain.from_iterable(f[k] for f in found), np.int64) for k in (0, 1))
         same = sum(map(eq, parts, parts[1:]))
-        return ids, np.array([math.log1p(n) / 10, len(set(parts)) / math.sqrt(n + 1) / 10, same / (n + 1)], np.float32)
+        return words, shapes, np.array([math.log1p(n) / 10, len(set(parts)) / math.sqrt(n + 1) / 10, same / (n + 1)], np.float32)
 
 
 def index_vectors(bits: int, seed: int) -> np.ndarray:
@@ -103,10 +106,9 @@ class Model:
         reader = Reader()
         ids = [reader.read(t) for t, _ in sample]
         y = np.array([float(label) for _, label in sample])
-        mask = (1 << SHAPE_BITS) - 1
-        self.words = context_vectors([i >> SHAPE_BITS for i, _ in ids], index_vectors(WORD_BITS, seed))
-        self.shapes = context_vectors([i & mask for i, _ in ids], index_vectors(SHAPE_BITS, seed + 1))
-        x = np.array([self.pool(i, s) for i, s in ids], np.float32).reshape(len(ids), 2 * DIM + 3)
+        self.words = context_vectors([w for w, _, _ in ids], index_vectors(WORD_BITS, seed))
+        self.shapes = context_vectors([s for _, s, _ in ids], index_vectors(SHAPE_BITS, seed + 1))
+        x = np.array([self.pool(*i) for i in ids], np.float32).reshape(len(ids), 2 * DIM + 3)
         self.mean, self.spread = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * DIM + 3), np.ones(2 * DIM + 3))
         x = (x - self.mean) / self.spread
         rng = np.random.default_rng(seed)
@@ -119,14 +121,15 @@ class Model:
             losses = {t: np.mean(np.logaddexp(0, z / t) - y[held] * z / t) for t in np.geomspace(0.25, 8, 61)}
             self.temperature = float(min(losses, key=losses.get))
 
-    def pool(self, ids: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    def pool(self, words: np.ndarray, shapes: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """A document's vector; zeros, but for the shares, for a text without words."""
-        mask, sums = (1 << SHAPE_BITS) - 1, np.zeros(2 * DIM, np.float64)
-        for start in range(0, len(ids), CHUNK):
-            part = ids[start : start + CHUNK]
-            sums[:DIM] += self.words[part >> SHAPE_BITS].sum(0)
-            sums[DIM:] += self.shapes[part & mask].sum(0)
-        return np.concatenate([sums / max(len(ids), 1), shares]).astype(np.float32)
+        means = []
+        for ids, vectors in ((words, self.words), (shapes, self.shapes)):
+            total = np.zeros(DIM, np.float64)
+            for start in range(0, len(ids), CHUNK):
+                total += vectors[ids[start : start + CHUNK]].sum(0)
+            means.append(total / max(len(ids), 1))
+        return np.concatenate([*means, shares]).astype(np.float32)
 
     def _logit(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
