@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from test_documents import check_packing
 from test_lines_and_pii import slow_dedup
-from test_simhash import slow_components, slow_fingerprint
+from test_neardup import agree
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, linededup
@@ -31,12 +31,7 @@ def test_every_stage_works_on_what_the_one_before_kept(spark, sf_dir, tmp_path):
     gone = slow_dedup(rows, linededup.MIN_WORDS, keys)
     assert {(r.doc_id, r.text) for r in lined} == {(i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[(i, t)])) for i, t in rows}
 
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in lined}
-    roots = slow_components(sorted(set(fps.values())))
-    least = {}
-    for i, f in fps.items():
-        least[roots[f]] = min(least.get(roots[f], i), i)
-    assert {r.doc_id for r in single} == set(least.values())
+    agree([(r.doc_id, r.text) for r in lined], [r.doc_id for r in single])
 
     bench = decontaminate.Benchmark([tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()])
     assert {r.doc_id for r in clean} == {r.doc_id for r in single if not bench.hits(r.text)}
