@@ -72,15 +72,20 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list],
 class Recent(dict):
     """A cache of a function's values over strings that keeps those of recent use, at most twice so many.
 
-    When it is full, its entries become the older half, out of which those in use come back.
+    When it is full, its entries become the older half, out of which those in use come back. Strings of over LONG letters
+    aren't kept.
     """
 
+    LONG = 100
+
     def __init__(self, function: Callable[[str], object], most: int):
         super().__init__()
         self.function, self.most = function, most
         self.older: dict = {}
 
     def __missing__(self, key: str):
+        if len(key) > self.LONG:
+            return self.function(key)
         value = self.older.get(key)
         if value is None:
             value = self.function(key)

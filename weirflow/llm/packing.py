@@ -16,6 +16,7 @@ import zlib
 from bisect import insort
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from .common import Recent, require
 WINDOW = 2048
 #: Pieces a pool holds before it is packed down to half.
 POOL = 4096
-#: Parts and pre-tokens whose ids a task keeps, twice each.
-CACHE = 200_000
+#: Parts and pre-tokens whose ids a worker keeps, twice each, none of over LONG letters, and letters read at once.
+CACHE, LONG, BLOCK = 500_000, 64, 1 << 18
 #: The id that ends each document, in four little-endian bytes.
 END_ID = (1).to_bytes(4, "little")
 
@@ -40,7 +41,8 @@ class WordTokenizer:
     The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of its
     parts between spaces and line feeds, one after the other. Parts of ASCII and precomposed Latin letters, which no
     normalization but lower case changes, are cut into the tokenizer's pre-tokens here, and the tokenizer's model is asked
-    for each pre-token once; any other part goes through the whole tokenizer.
+    for each pre-token once; any other part goes through the whole tokenizer. Texts are taken some at a time, so that what
+    is new in them is found by one difference of sets.
     """
 
     #: What the shortcut takes: visible ASCII and Latin letters with one-to-one lower case. Control strings go the long way.
@@ -59,20 +61,49 @@ class WordTokenizer:
         unseen = [b for b in range(256) if b not in seen]
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(unseen)}
         self.pre_tokens = Recent(self._pre_token, CACHE)
-        self.parts = Recent(self._part, CACHE)
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pre_token(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
     def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            return self.pre_tokens[part.lower()]
         if self.PLAIN.fullmatch(part):
             return b"".join(map(self.pre_tokens.__getitem__, self.PRE_TOKENS.findall(part.lower())))
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(part, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        at = 0
+        while at < len(texts):
+            block: list[list[str]] = []
+            size = 0
+            while at < len(texts) and size < BLOCK:
+                size += len(texts[at])
+                block.append(texts[at].replace("\n", " ").split(" "))
+                at += 1
+            if len(self.parts) > CACHE:
+                self.older, self.parts = self.parts, {}
+            known, before = self.parts, self.older.get
+            new = set().union(*block).difference(known)
+            for part in new:
+                ids = before(part)
+                known[part] = self._part(part) if ids is None else ids
+            for parts in block:
+                yield b"".join(map(known.__getitem__, parts))
+            for part in new:
+                if len(part) > LONG:
+                    del known[part]
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of this process: later tasks of a worker find its caches filled."""
+    return WordTokenizer(path)
 
 
 def best_fill(lengths: list[int], counts: Callable[[int], int], room: int) -> list[tuple[int, int]]:
@@ -209,16 +240,16 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words, packer = None, Packer(TaskContext.get().partitionId() << 33)
+        packer = Packer(TaskContext.get().partitionId() << 33)
 
         def ready():
             out = packer.taken()
             return [pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds, strict=True)], names=names)] if out else []
 
         for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words or WordTokenizer(path)
-                packer.add(doc, words.encode(text) + END_ID)
+            docs_, texts = (c.to_pylist() for c in batch.columns)
+            for doc, ids in zip(docs_, tokenizer_of(path).encode(texts), strict=True):
+                packer.add(doc, ids + END_ID)
             yield from ready()
         packer.finish()
         yield from ready()
