@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -93,22 +94,21 @@ def tiles(item: list[int] | np.ndarray, text: list[int] | np.ndarray, match: int
     found: list[tuple[int, int, int]] = []
     longest = min(len(a), len(b))
     while match and longest >= match:
-        low, high, best = match, longest, []
+        low, high, best = match, longest, None
         while low <= high:  # if there's a match of a length, there's one of each shorter length
             length = (low + high) // 2
-            if pairs := _matches(a, b, free_a, free_b, length):
-                best, low = pairs, length + 1
+            if met := _met(a, b, free_a, free_b, length):
+                best, low = met, length + 1
             else:
                 high = length - 1
         if not best:
             break
         length = low - 1
-        for i, j in best:
-            if free_a[i : i + length].all() and free_b[j : j + length].all():
-                free_a[i : i + length] = False
-                free_b[j : j + length] = False
-                found.append((i, j, length))
-        longest = length
+        for i, j in _pairs(a, b, free_a, free_b, length, *best):
+            free_a[i : i + length] = False
+            free_b[j : j + length] = False
+            found.append((i, j, length))
+        longest = length - 1
     return found
 
 
@@ -118,23 +118,42 @@ def _open(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(marked[length:] == marked[:-length]) if len(free) >= length else np.empty(0, int)
 
 
-def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """(i, j) of equal unmarked windows, one j for each i and i for each j in turn, checked word by word."""
+Windows = tuple[np.ndarray, np.ndarray]
+
+
+def _met(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int) -> tuple[Windows, Windows] | None:
+    """Unmarked windows (starts, hashes) of each text whose hash the other one has as well; None if there are none."""
     at_a, at_b = _open(free_a, length), _open(free_b, length)
     if not len(at_a) or not len(at_b):
-        return []
+        return None
     hash_a, hash_b = _running(a, length)[at_a], _running(b, length)[at_b]
-    common = np.flatnonzero(np.isin(hash_b, hash_a))
-    by_hash: dict[int, list[int]] = defaultdict(list)
-    for i, h in zip(at_a.tolist(), hash_a.tolist(), strict=True):
-        by_hash[h].append(i)
-    pairs = []
-    for k in common.tolist():
-        j = int(at_b[k])
-        for i in by_hash[int(hash_b[k])]:
-            if np.array_equal(a[i : i + length], b[j : j + length]):
-                pairs.append((i, j))
-    return sorted(pairs)
+    in_a, in_b = np.isin(hash_a, hash_b), np.isin(hash_b, hash_a)
+    return ((at_a[in_a], hash_a[in_a]), (at_b[in_b], hash_b[in_b])) if in_a.any() else None
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int, of_a: Windows, of_b: Windows) -> Iterator[tuple[int, int]]:
+    """Equal unmarked windows (i, j), each i with the first j that is left; the caller marks them before it asks on.
+
+    Each j is passed by once, however many windows have its hash. What is marked has this length or more, so a window is
+    free if both its ends are.
+    """
+    places: dict[int, list[int]] = defaultdict(list)
+    for j, h in zip(of_b[0].tolist(), of_b[1].tolist(), strict=True):
+        places[h].append(j)
+    nexts = dict.fromkeys(places, 0)
+    last = length - 1
+    for i, h in zip(of_a[0].tolist(), of_a[1].tolist(), strict=True):
+        if not (free_a[i] and free_a[i + last]):
+            continue
+        own, k = places[h], nexts[h]
+        while k < len(own) and not (free_b[own[k]] and free_b[own[k] + last]):
+            k += 1
+        nexts[h] = k
+        for j in own[k:] if k < len(own) and not np.array_equal(a[i : i + length], b[own[k] : own[k] + length]) else own[k : k + 1]:
+            # Beyond the first, only where windows that differ have one hash.
+            if free_b[j] and free_b[j + last] and np.array_equal(a[i : i + length], b[j : j + length]):
+                yield i, j
+                break
 
 
 def _running(ids: np.ndarray, length: int) -> np.ndarray:
@@ -193,6 +212,17 @@ class Benchmark:
         return found
 
 
+class Block:
+    """Test items as they are sent; all tasks of a worker share the seeds that are made of them there."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], match: int):
+        self.items, self.match = items, match
+
+    @cached_property
+    def benchmark(self) -> Benchmark:
+        return Benchmark(self.items, self.match)
+
+
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """Distinct items in blocks of at most so many words (or one item), each of which is brought to the driver alone."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
@@ -231,10 +261,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out: DataFrame | None = None
     for items in _blocks(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(Block(items, match))
 
         def tasks(sent=sent):
-            bench = Benchmark(sent.value, match)
+            bench = sent.value.benchmark
 
             def each(columns: dict) -> Iterator[tuple]:
                 for doc, text in zip(columns["doc_id"], columns["text"], strict=True):
@@ -251,10 +281,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
 def keep_clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the documents that a test item contaminates; all columns stay, and nothing is shuffled."""
     for items in _blocks(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(Block(items, match))
 
         def tasks(sent=sent) -> Callable[[list], list[bool]]:
-            bench = Benchmark(sent.value, match)
+            bench = sent.value.benchmark
             return lambda texts: [not bench.hits(t, coverage) for t in texts]
 
         docs = filter_rows(docs, "text", tasks)
