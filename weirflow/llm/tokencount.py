@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from .common import Recent, map_rows, require
 
 MARK = "▁"
 UNKNOWN = -30.0
-#: Nodes of a task's trie (it starts anew at this number), and words whose counts a task keeps, twice.
-NODES, CACHE = 400_000, 200_000
+#: Nodes of a worker's trie (it starts anew at this number), and words whose counts a worker keeps, twice.
+NODES, CACHE = 400_000, 500_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -87,6 +88,13 @@ class Trie:
         return tokens[node]
 
 
+@cache
+def counts_of(vocabulary: str | None) -> Recent:
+    """Words to their counts, in this process: later tasks of a worker find the vocabulary read and the cache filled."""
+    trie = Trie(zipf_scores(load_pieces(vocabulary)))
+    return Recent(lambda word: trie.count(MARK + word), CACHE)
+
+
 COUNTS = "doc_id long, n_words long, n_tokens long"
 
 
@@ -99,8 +107,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     require(docs, "doc_id", "text")
 
     def rows():
-        trie = Trie(zipf_scores(load_pieces(vocabulary)))
-        known = Recent(lambda word: trie.count(MARK + word), CACHE)
+        known = counts_of(vocabulary)
 
         def each(columns: dict) -> Iterator[tuple]:
             for doc, text in zip(columns["doc_id"], columns["text"], strict=True):
