@@ -18,23 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, filter_rows, id_text_crc, require
+from .common import Recent, id_text_crc, require
 
 #: Nats that a change of language costs; about what three clear words bring in.
 SWITCH = 12.0
-#: The classifier is fitted on about so many documents of each language that occurs, taken by a hash of their id; none of
-#: over SAMPLE_CHARS.
-SAMPLE, SAMPLE_CHARS = 600, 200_000
+#: The classifier is fitted on about so many documents of each language that occurs, taken by a hash, and on about MOST in
+#: all (twice that at the very most); none of over SAMPLE_CHARS. So at most 240 MB of texts come to the driver.
+SAMPLE, MOST, SAMPLE_CHARS = 600, 6000, 20_000
 #: Letters of a longer word that go through the Viterbi pass as one.
 PIECE = 64
 ORDERS = (1, 2, 3, 4)
 #: n-grams kept, by frequency, and the least share of a language's letters that makes a script one of its own.
 GRAMS, SCRIPT_SHARE = 200_000, 0.01
-#: What a task keeps: parts of texts, twice, and words with scores (at this number it forgets them all). Words in one pass.
+#: What a worker keeps: parts of texts, twice, and words with scores (at this number it forgets them all). Words in one pass.
 CACHE, CORES, PASS_WORDS = 200_000, 600_000, 1_000_000
 #: What a language that doesn't write in a word's script gets for it.
 FOREIGN = -50.0
 UNKNOWN = "und"
+#: The least score of a text that the filter keeps: its language holds at least half of its letters.
+LEAST = 0.5
 
 #: First code points of Unicode ranges, and the script whose letters begin there.
 SCRIPT_STARTS = [
@@ -97,6 +99,7 @@ class Model:
     def __init__(self, sample: list[tuple[str, str]]):
         """sample: (language, text)."""
         self.langs = sorted({lang for lang, _ in sample})
+        self.labellers: dict[float, Labeller] = {}
         words: dict[str, Counter] = {lang: Counter() for lang in self.langs}
         for lang, text in sample:
             words[lang].update(text.split())
@@ -127,6 +130,12 @@ class Model:
         total = sum(letters.values(), np.zeros(n)) + 1e-9
         self.scripts = {s: np.where(v / total >= SCRIPT_SHARE, 0.0, FOREIGN).astype(np.float32) for s, v in letters.items() if (v / total >= SCRIPT_SHARE).any()}
 
+    def labeller(self, switch: float = SWITCH) -> Labeller:
+        """In a worker, all tasks' labeller for this penalty, so that later ones find its caches filled."""
+        if switch not in self.labellers:
+            self.labellers[switch] = Labeller(self, switch)
+        return self.labellers[switch]
+
     def score(self, words: list[str | tuple[str, str, int]]) -> np.ndarray:
         """A row for each word of letters, or piece of one; zeros for a word in a script that no language was seen in."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -281,16 +290,19 @@ class Labeller:
 def train(docs: DataFrame, held_out: int = 1, folds: int = 3, sample: int = SAMPLE) -> Model:
     """A model from a bounded sample of documents with a language, outside of the held-out fold of crc32(doc_id).
 
-    How many documents each language has is counted over all documents; every language that occurs is learned. The model has
-    a number for each language and each of at most GRAMS n-grams.
+    How many documents each language has is counted over all documents; every language that occurs is learned. Rows that
+    repeat a text count once. The model has a number for each language and each of at most GRAMS n-grams.
     """
     require(docs, "doc_id", "text", "lang")
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (id_text_crc("doc_id", folds) != held_out))
     steps = 1 << 30
-    shares = {r["lang"]: min(steps, round(steps * sample / r["count"])) for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    each = min(sample, -(-MOST // max(len(counts), 1)))
+    shares = {lang: min(steps, round(steps * each / n)) for lang, n in counts.items()}
     of = F.map_from_arrays(F.lit(list(shares)).cast("array<string>"), F.lit(list(shares.values())).cast("array<bigint>"))
-    picked = usable.where((F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.element_at(of, F.col("lang"))) & (F.length("text") <= SAMPLE_CHARS))
-    return Model([(r["lang"], r["text"]) for r in picked.select("lang", "text").collect()])
+    picked = usable.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < F.element_at(of, F.col("lang"))))
+    rows = picked.select("lang", "text").distinct().orderBy(F.xxhash64("text", "lang"), "lang", "text").limit(2 * MOST)
+    return Model([(r["lang"], r["text"]) for r in rows.collect()])
 
 
 PREDICTIONS = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,begin:int,end:int>>"
@@ -308,7 +320,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     span = pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value, switch)
+        labeller = sent.value.labeller(switch)
         for batch in batches:
             out = list(labeller.predict(batch.column(1).to_pylist()))
             langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
@@ -318,14 +330,28 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTIONS)
 
 
-def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """docs without those whose text is UNKNOWN; all columns stay. If no language was learned, text with a letter stays."""
+def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH, least: float = LEAST) -> DataFrame:
+    """docs whose text is in a known language with a score of at least least; lang becomes the language that was found.
+
+    All other columns stay, and lang as well where the table has none of that name and of text. NULL texts and those without
+    a letter go. If no language was learned, texts with a letter stay as they are. Repeated rows each stay or go; an empty
+    table gives an empty one.
+    """
+    require(docs, "text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at = names.index("lang") if "lang" in names and docs.schema["lang"].dataType.typeName() == "string" else None
 
-    def task():
-        if not sent.value.langs:
-            return lambda texts: [any(map(str.isalpha, t or "")) for t in texts]
-        labeller = Labeller(sent.value, switch)
-        return lambda texts: [lang != UNKNOWN for lang, _, _ in labeller.predict(texts)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = sent.value.labeller(switch) if sent.value.langs else None
+        for batch in batches:
+            texts = batch.column(names.index("text")).to_pylist()
+            if labeller is None:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+                continue
+            found = [(lang, score) for lang, score, _ in labeller.predict(texts)]
+            if at is not None:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([lang for lang, _ in found], batch.schema.field(at).type))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return filter_rows(docs, "text", task)
+    return docs.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from operator import eq
 
@@ -27,8 +28,9 @@ from .common import Recent, id_text_crc, require
 WORD_BITS, SHAPE_BITS = 15, 12
 #: Length of a vector, non-zero entries of an index vector, words on each side that count as around a word.
 DIM, ENTRIES, AROUND = 64, 4, 2
-#: The classifier is fitted on at most so many labelled documents, taken by a hash of their id; none of over SAMPLE_CHARS.
-SAMPLE, SAMPLE_CHARS = 6000, 200_000
+#: The classifier is fitted on at most so many labelled documents, taken by a hash; none of over SAMPLE_CHARS. So at most
+#: 120 MB of texts come to the driver.
+SAMPLE, SAMPLE_CHARS = 6000, 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
 #: A score from here on predicts label 1.
 CUT = 0.3
@@ -121,6 +123,11 @@ class Model:
             losses = {t: np.mean(np.logaddexp(0, z / t) - y[held] * z / t) for t in np.geomspace(0.25, 8, 61)}
             self.temperature = float(min(losses, key=losses.get))
 
+    @cached_property
+    def reader(self) -> Reader:
+        """In a worker, all tasks' reader, so that later ones find its cache filled."""
+        return Reader()
+
     def pool(self, words: np.ndarray, shapes: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """A document's vector; zeros, but for the shares, for a text without words."""
         means = []
@@ -169,14 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
     """A model from at most so many labelled documents outside of the held-out fold of crc32(doc_id).
 
     The labels that are picked go to the documents, not the other way round; a doc_id with several labels counts once for
-    each of them.
+    each of them, and with several texts once for each of these, but never are more than sample rows taken.
     """
     require(docs, "doc_id", "text")
     require(labels, "doc_id", "quality")
     usable = labels.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (id_text_crc("labelled", folds) != held_out))
     picked = usable.distinct().orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)
+    # At most sample rows of two numbers.
     rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))
-    found = rows.select("doc_id", "text", "quality").collect()
+    found = rows.select("doc_id", "text", "quality").distinct().orderBy(F.xxhash64("doc_id", "quality", "text"), "doc_id", "quality", "text").limit(sample).collect()
     return Model([(r["text"], r["quality"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["quality"], r["text"]))])
 
 
@@ -190,8 +198,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = Reader(), sent.value
+        own = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(batch.column(1).to_pylist(), reader), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(batch.column(1).to_pylist(), own.reader), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
