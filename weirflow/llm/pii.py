@@ -7,6 +7,9 @@ character, within the class of the character (digit, capital, small letter, hexa
 one format, so equal values get equal pseudonyms in all documents, different ones different pseudonyms, and no table
 of values is kept. Separators stay; check digits are made to fit; a date moves within its 400-year cycle of the calendar.
 
+A card or account number that fails validation as far as its pattern goes is tried up to each of its separators, so that
+what follows it (an expiry date, a currency) doesn't hide it.
+
 Patterns and rounds are evaluated in the row, so nothing is shuffled.
 """
 
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import require
 
 ROUNDS = 10
-#: The key if none is given: for demonstrations. A caller who needs secrecy gives their own.
-DEMONSTRATION_KEY = "weirflow demonstration key"
+#: The session setting that names the key, and the key if none is set or given: for demonstrations only.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.weirflow.pseudonym.key", "weirflow demonstration key"
 
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -27,16 +30,22 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}+@(?:[0-9A-Za-z](?:[0-9A-Za-z-]{0,62})\.){1,8}[A-Za-z]{2,24}" + _E,
     "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?" + _E,
-    "ip": r"(?<![0-9A-Za-z.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9A-Za-z]|\.[0-9])",
-    "iso_date": _B + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _E,
+    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4})(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9A-Za-z.])(?<![Vv]ersion )(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9A-Za-z]|\.[0-9])",
+    "iso_date": _B + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:|(?![0-9A-Za-z]))",
     "dot_date": _B + r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}" + _E,
     "slash_date": _B + r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + _E,
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E,
     "long_phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,5}" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
     "card": _B + r"[0-9](?:[ -]?[0-9]){12,18}" + _E,
+    # Prefixes of access keys that are public knowledge (fixed values).
+    "token": _B + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36})" + _E,
     "secret": _B + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _E,
 }
+#: What a number cut before a separator has to look like: common groupings of card numbers, and accounts in fours.
+CARD_SHAPE = "^(?:[0-9]{4}[ -]){3}[0-9]{4}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}$|^[0-9]{13,19}$"
+IBAN_SHAPE = "^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?$"
 CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days of the Gregorian cycle of 400 years, and two factors of it, the radices of a date's halves.
 CYCLE, RADICES, EPOCH = 146097, (189, 773), "1800-01-01"
@@ -109,6 +118,17 @@ def _mod97(letters: str) -> str:
     return f"aggregate(split({letters}, ''), 0, (t, x) -> {step})"
 
 
+def _longest(value: str, valid: str, moved: str, shape: str) -> str:
+    """The moved longest beginning of value that is valid and ends where it does or, if it has a shape, before a separator.
+
+    valid and moved: SQL about the variable pre. NULL if there's none.
+    """
+    ends = f"filter(sequence(length({value}), 1, -1), e -> e = length({value}) or substring({value}, e + 1, 1) in (' ', '-') and left({value}, e) rlike {_text(shape)})"
+    found = f"filter(transform({ends}, e -> left({value}, e)), pre -> {valid})"
+    put = _let("pre", "found[0]", f"concat({moved}, substring({value}, length(pre) + 1))")
+    return _let("found", found, f"if(size(found) = 0, null, {put})")
+
+
 def _date(value: str, formats: list[str], key: str) -> str:
     """The date permuted in its cycle and written as it was read, by the first format that fits; NULL if none does."""
     out = "null"
@@ -126,12 +146,12 @@ def pseudonym(value: str, key: str) -> str:
     def plain(kind: str) -> str:
         return _refill(value, _feistel(_core(value), key, kind))
 
-    digits = _core(value, "[^0-9]")
-    card_core = _let("v", digits, _let("g", _feistel("substring(v, 1, length(v) - 1)", key, "card"), f"concat(g, {_luhn('g')})"))
-    card = f"if({_let('v', digits, _luhn('substring(v, 1, length(v) - 1)') + ' = right(v, 1)')}, {_refill(value, card_core)}, null)"
+    digits, own = _core(value, "[^0-9]"), _core("pre", "[^0-9]")
+    card_core = _let("v", own, _let("g", _feistel("substring(v, 1, length(v) - 1)", key, "card"), f"concat(g, {_luhn('g')})"))
+    card = _longest(value, _let("v", own, _luhn("substring(v, 1, length(v) - 1)") + " = right(v, 1)"), _refill("pre", card_core), CARD_SHAPE)
     bban = _feistel("substring(v, 5)", key, "iban")
-    iban_core = _let("v", _core(value), _let("g", bban, f"concat(left(v, 2), lpad(cast(98 - {_mod97('concat(g, left(v, 2), ' + _text('00') + ')')} as string), 2, '0'), g)"))
-    iban = f"if({_let('v', _core(value), _mod97('concat(substring(v, 5), left(v, 4))') + ' = 1')}, {_refill(value, iban_core)}, null)"
+    iban_core = _let("v", _core("pre"), _let("g", bban, f"concat(left(v, 2), lpad(cast(98 - {_mod97('concat(g, left(v, 2), ' + _text('00') + ')')} as string), 2, '0'), g)"))
+    iban = _longest(value, _let("v", _core("pre"), _mod97("concat(substring(v, 5), left(v, 4))") + " = 1"), _refill("pre", iban_core), IBAN_SHAPE)
     octets = f"transform(split({value}, '[.]'), o -> cast(o as bigint))"
     number = _let("v", octets, "((v[0] * 256 + v[1]) * 256 + v[2]) * 256 + v[3]")
     moved = _feistel_numbers(number, (65536, 65536), key, "ip")
@@ -142,9 +162,12 @@ def pseudonym(value: str, key: str) -> str:
     count = f"length({digits})"
     ssn = f"if({value} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)[0-9]{{4}}$', {plain('ssn')}, null)"
     upper = f"if({value} rlike '[A-F]', '0123456789ABCDEF', '0123456789abcdef')"
+    ip6 = _refill(value, _feistel(_core(value), key, "ip6", upper))
+    token = f"concat(left({value}, 4), {_feistel(f'substring({value}, 5)', key, 'token')})"
     whole = {k: _text(f"^(?:{p})$") for k, p in PATTERNS.items()}
     return (
         f"case when {value} rlike {whole['email']} then {email}"
+        f" when {value} rlike {whole['ip6']} then {ip6}"
         f" when {value} rlike {whole['ip']} then {ip}"
         f" when {value} rlike {whole['iso_date']} then {_date(value, ['yyyy-MM-dd'], key)}"
         f" when {value} rlike {whole['dot_date']} then {_date(value, ['dd.MM.yyyy', 'd.M.yyyy'], key)}"
@@ -153,18 +176,20 @@ def pseudonym(value: str, key: str) -> str:
         f" when {value} rlike {whole['iban']} then {iban}"
         f" when {value} rlike {whole['phone']} or {value} rlike {whole['long_phone']} and {count} between 10 and 15 then {code}"
         f" when {value} rlike {whole['card']} then {card}"
+        f" when {value} rlike {whole['token']} then {token}"
         f" when {value} rlike {whole['secret']} then {_feistel(value, key, 'secret', upper)} end"
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = DEMONSTRATION_KEY) -> DataFrame:
-    """docs with pseudonyms in text, and values, the number of values that got one.
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with pseudonyms in text, and values, the number of values that got one. key: if None, the session's KEY_SETTING.
 
     Candidates that don't validate stay as they are, and so does everything around them. NULL and empty texts stay, with 0
     values. All rows and other columns stay; an existing column named values is replaced. n_chars isn't touched: only an
     IP address or a date of one-digit parts can change a text's length. An empty table gives an empty one.
     """
     require(docs, "text")
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or DEMONSTRATION_KEY
     pattern = _text(CANDIDATE)
     found = _let("m", f"regexp_extract_all(text, {pattern}, 0)", f"named_struct('m', m, 'p', transform(m, value -> {pseudonym('value', key)}))")
     pieces = f"split(text, {pattern}, -1)"
