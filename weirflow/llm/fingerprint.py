@@ -33,7 +33,10 @@ CHUNK, ROWS = 1 << 20, 256
 
 
 def _counts(data: bytes) -> np.ndarray:
+    """How many triplets fall in each bucket. Fewer bytes than a window has are filled up with zeros, so each begins a triplet."""
     total = np.zeros(BUCKETS, np.int64)
+    if 0 < len(data) <= OFFSETS[-1]:
+        data += bytes(OFFSETS[-1])
     shift = np.uint32(32 - int(math.log2(BUCKETS)))
     for start in range(0, len(data), CHUNK):
         part = np.frombuffer(data, np.uint8, min(len(data) - start, CHUNK + OFFSETS[-1]), start).astype(np.uint32)
