@@ -199,21 +199,21 @@ def test_specs_are_checked():
 
 
 def test_validation_in_yaml_sends_dead_letters(spark, tmp_path):
-    spark.createDataFrame([("tx1", 5.0), ("tx2", -1.0)], "id string, amount double").write.parquet(str(tmp_path / "in"))
-    (tmp_path / "s.json").write_text(json.dumps({"type": "object", "properties": {"amount": {"type": "number", "minimum": 0}}}))
+    spark.createDataFrame([("sn1", 5.0), ("sn2", -1.0)], "id string, level double").write.parquet(str(tmp_path / "in"))
+    (tmp_path / "s.json").write_text(json.dumps({"type": "object", "properties": {"level": {"type": "number", "minimum": 0}}}))
     text = f"""
 name: v
-sources: {{tx: {{type: parquet, path: {tmp_path}/in}}}}
+sources: {{sn: {{type: parquet, path: {tmp_path}/in}}}}
 transforms:
   - {{name: ok, type: schema_validation, schema: {tmp_path}/s.json, on_failure: dead_letter}}
-  - {{name: w, type: window_aggregate, window: {{type: tumbling, size: 60s}}, group_by: [id], aggregations: {{total: sum(amount)}}}}
+  - {{name: w, type: window_aggregate, window: {{type: tumbling, size: 60s}}, group_by: [id], aggregations: {{total: sum(level)}}}}
 sinks: {{out: {{type: parquet, path: {tmp_path}/out}}}}
 dead_letter: {{type: jsonl, path: {tmp_path}/dead}}
 """
     state = Executor(build_graph(parse(text), spark), spark).execute()
     assert state.status is Status.COMPLETED, state.error
     assert [r.total for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [5.0]
-    assert [json.loads(r.record)["id"] for r in spark.read.json(str(tmp_path / "dead")).collect()] == ["tx2"]
+    assert [json.loads(r.record)["id"] for r in spark.read.json(str(tmp_path / "dead")).collect()] == ["sn2"]
     strict = parse(text.replace("on_failure: dead_letter", "on_failure: raise"))
     assert "minimum" in Executor(build_graph(strict, spark), spark).execute().error
 

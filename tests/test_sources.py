@@ -16,11 +16,13 @@ from weirflow.sources.rest import auth_header, results_of
 
 
 def test_csv_cells_are_text(spark, tmp_path):
-    path = tmp_path / "people.csv"
-    path.write_text('name,age,city\nAlice,30,NYC\nBob,,"a, ""b""\nc"\n')
-    df = io.CSVFile(str(path)).read(spark)
-    assert [tuple(r) for r in df.collect()] == [("Alice", "30", "NYC"), ("Bob", "", 'a, "b"\nc')]
-    assert io.CSVFile(str(path), empty_as_null=True).read(spark).filter("age is null").count() == 1
+    path = tmp_path / "parts.csv"
+    path.write_text('part,weight,note\nbolt,0.5,steel\nnut,,"a, ""b""\nc"\n')
+    df = io.CSVFile(str(path), multi_line=True).read(spark)
+    assert [tuple(r) for r in df.collect()] == [("bolt", "0.5", "steel"), ("nut", "", 'a, "b"\nc')]
+    assert io.CSVFile(str(path), multi_line=True, empty_as_null=True).read(spark).filter("weight is null").count() == 1
+    (tmp_path / "plain.csv").write_text("part,note\nbolt,steel\n" * 2)
+    assert io.CSVFile(str(tmp_path / "plain.csv")).read(spark).count() == 3
 
 
 def test_csv_without_header(spark, tmp_path):

@@ -192,3 +192,10 @@ def test_dead_letters_keep_the_latest(spark):
     assert letters.size() == 3 and letters.get("s").count() == 1 and letters.flush().count() == 3 and letters.size() == 0
     with pytest.raises(ValueError):
         DeadLetters(0)
+
+
+def test_dead_letters_that_were_added_first_go_first(spark):
+    letters = DeadLetters(2)
+    for name in ("z-first", "m-second", "a-third"):
+        letters.add(spark.createDataFrame([(name, "e")], "name string, _errors string"), "s")
+    assert [r.record for r in letters.get().collect()] == ['{"name":"a-third"}', '{"name":"m-second"}']

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from itertools import accumulate
 
@@ -9,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART, ROW = "__weir_part", "__weir_row"
+#: Used where the session names no folder and everything runs on one machine.
 FALLBACK_DIR = "/tmp/checkpoints/weirflow"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share, without a final slash: spark.checkpoint.dir. Where it is unset, a local master
+    gets a folder of this machine, and any other an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset; on a cluster it names the folder that driver and executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 

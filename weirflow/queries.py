@@ -181,12 +181,13 @@ def run_totals(spark, sf_dir):
 
 
 def _joined(spark, sf_dir, how):
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name").filter("k % 2 = 0")
-    right = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey").filter("k % 3 = 0")
+    """Whole tables; orders' keys are moved up by 20, so that both sides have keys without a partner."""
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    right = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 20).alias("k"), "o_orderkey")
     return ops.join(left, right, "k", how)
 
 
-_JOIN = "SELECT {k} AS k, c_name, o_orderkey FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) {how} JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 3 = 0) ON c_custkey = o_custkey"
+_JOIN = "SELECT {k} AS k, c_name, o_orderkey FROM customer {how} JOIN (SELECT o_custkey + 20 AS o_key, o_orderkey FROM orders) ON c_custkey = o_key"
 
 
 @query(_JOIN.format(k="c_custkey", how="INNER"))
@@ -199,12 +200,12 @@ def join_left(spark, sf_dir):
     return _joined(spark, sf_dir, "left")
 
 
-@query(_JOIN.format(k="o_custkey", how="RIGHT"))
+@query(_JOIN.format(k="o_key", how="RIGHT"))
 def join_right(spark, sf_dir):
     return _joined(spark, sf_dir, "right")
 
 
-@query(_JOIN.format(k="coalesce(c_custkey, o_custkey)", how="FULL"))
+@query(_JOIN.format(k="coalesce(c_custkey, o_key)", how="FULL"))
 def join_outer(spark, sf_dir):
     return _joined(spark, sf_dir, "outer")
 
@@ -232,6 +233,14 @@ def join_null_safe(spark, sf_dir):
     return ops.join(ops.aggregate(events, ["k"], {"n": "count()"}), ops.aggregate(events, ["k"], {"n": "max(event_id)"}), "k")
 
 
+@query("""SELECT o_orderkey, coalesce(n, 0) AS n, CASE WHEN k IS NULL THEN 'none' ELSE top END AS top FROM orders LEFT JOIN
+  (SELECT user_id AS k, count(*) AS n, max(event_type) AS top FROM events GROUP BY 1) ON o_custkey = k""")
+def lookup_default(spark, sf_dir):
+    """Keys that the looked-up table lacks get defaults."""
+    seen = ops.aggregate(table(spark, sf_dir, "events").withColumnRenamed("user_id", "o_custkey"), ["o_custkey"], {"n": "count()", "top": "max(event_type)"})
+    return ops.lookup(table(spark, sf_dir, "orders"), seen, "o_custkey", {"n": 0, "top": "none"}).select("o_orderkey", "n", "top")
+
+
 # Row windows, duplicates, unions, the first rows
 
 
@@ -330,22 +339,32 @@ def session(spark, sf_dir):
     return _rounded(st.windowed_aggregate(table(spark, sf_dir, "events"), st.TimeWindow("session", gap="30m"), _STREAM_AGG, ["user_id"], "ts"), "total", digits=4)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  s AS (SELECT user_id, rn, ts AS begun, ts + INTERVAL 30 MINUTE AS stop FROM e WHERE rn = 1
+    UNION ALL SELECT e.user_id, e.rn, CASE WHEN ts <= stop + INTERVAL 30 MINUTE THEN begun ELSE ts END, CASE WHEN ts <= stop + INTERVAL 30 MINUTE THEN greatest(stop, ts) ELSE ts + INTERVAL 30 MINUTE END
+      FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)
+  SELECT begun AS _window_start, max(stop) AS _window_end, user_id, count(*) AS n, count(*) AS _record_count FROM s GROUP BY user_id, begun""")
 def session_strict(spark, sf_dir):
     return st.windowed_aggregate(table(spark, sf_dir, "events"), st.TimeWindow("session", gap="30m"), {"n": "count(*)"}, ["user_id"], "ts", strict_sessions=True)
 
 
-_LATE = "SELECT *, ts < greatest(TIMESTAMP '1970-01-01', max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 20 DAY) AS late FROM events"
+#: Rows arrive in an order that has nothing to do with their times, so many are late.
+_ARRIVAL = "(event_id * 7919) % 100003"
+_LATE = f"SELECT *, ts < greatest(TIMESTAMP '1970-01-01', max(ts) OVER (ORDER BY {_ARRIVAL}, event_id ROWS UNBOUNDED PRECEDING) - INTERVAL 20 DAY) AS late FROM events"
+
+
+def _arriving(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts", "value", F.expr(_ARRIVAL).alias("arrival"))
 
 
 @query(f"SELECT event_id, ts, value FROM ({_LATE}) WHERE NOT late")
 def watermark_drop(spark, sf_dir):
-    return st.drop_late(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "ts", ["event_id"], "20d")
+    return st.drop_late(_arriving(spark, sf_dir), "ts", ["arrival", "event_id"], "20d").drop("arrival")
 
 
 @query(f"SELECT event_id, ts, value FROM ({_LATE}) WHERE late")
 def watermark_late(spark, sf_dir):
-    return st.late_rows(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "ts", ["event_id"], "20d")
+    return st.late_rows(_arriving(spark, sf_dir), "ts", ["arrival", "event_id"], "20d").drop("arrival")
 
 
 @query("SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS id, event_id, value FROM events WHERE event_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
@@ -401,32 +420,55 @@ def _rules() -> RuleSet:
     return RuleSet([RangeRule("c_acctbal", 0, 9000), NotNullRule(["c_name"]), RegexRule("c_mktsegment", "[A-M].*")])
 
 
-_BROKEN = """concat_ws('; ', CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN '[RangeRule(c_acctbal)] c_acctbal is outside [0, 9000]' END,
-  CASE WHEN NOT regexp_full_match(c_mktsegment, '[A-M].*') THEN '[RegexRule(c_mktsegment)] c_mktsegment does not match [A-M].*' END)"""
+#: Columns some of whose values are missing, empty, or no number; both Spark and DuckDB read these expressions.
+_SPOILT = {
+    "c_acctbal": "CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR(30)) END",
+    "c_name": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END",
+    "c_mktsegment": "CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_mktsegment END",
+}
+_CUSTOMER = f"(SELECT c_custkey, {', '.join(f'{e} AS {c}' for c, e in _SPOILT.items())} FROM customer)"
+_BROKEN = """concat_ws('; ', CASE WHEN c_acctbal IS NULL THEN '[RangeRule(c_acctbal)] c_acctbal is missing' WHEN try_cast(c_acctbal AS DOUBLE) IS NULL THEN '[RangeRule(c_acctbal)] c_acctbal is not a number'
+    WHEN try_cast(c_acctbal AS DOUBLE) < 0 OR try_cast(c_acctbal AS DOUBLE) > 9000 THEN '[RangeRule(c_acctbal)] c_acctbal is outside [0, 9000]' END,
+  CASE WHEN c_name IS NULL OR c_name = '' THEN '[NotNullRule(c_name)] null or empty: c_name' END,
+  CASE WHEN c_mktsegment IS NULL THEN '[RegexRule(c_mktsegment)] c_mktsegment is missing' WHEN NOT regexp_full_match(c_mktsegment, '[A-M].*') THEN '[RegexRule(c_mktsegment)] c_mktsegment does not match [A-M].*' END)"""
 
 
-@query(f"SELECT c_custkey FROM customer WHERE {_BROKEN} = ''")
+def _checked(spark, sf_dir):
+    return _rules().validate(table(spark, sf_dir, "customer").select("c_custkey", *(F.expr(e).alias(c) for c, e in _SPOILT.items())))
+
+
+@query(f"SELECT c_custkey FROM {_CUSTOMER} WHERE {_BROKEN} = ''")
 def rules_valid(spark, sf_dir):
-    return _rules().validate(table(spark, sf_dir, "customer")).valid.select("c_custkey")
+    return _checked(spark, sf_dir).valid.select("c_custkey")
 
 
-@query(f"SELECT c_custkey, {_BROKEN} AS _errors FROM customer WHERE {_BROKEN} <> ''")
+@query(f"SELECT c_custkey, {_BROKEN} AS _errors FROM {_CUSTOMER} WHERE {_BROKEN} <> ''")
 def rules_invalid(spark, sf_dir):
-    return _rules().validate(table(spark, sf_dir, "customer")).invalid.select("c_custkey", "_errors")
+    return _checked(spark, sf_dir).invalid.select("c_custkey", "_errors")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER ({_BROKEN} = '') AS valid, count(*) FILTER ({_BROKEN} <> '') AS invalid, avg(({_BROKEN} = '')::INT) AS pass_rate FROM customer")
+@query(f"SELECT count(*) AS total, count(*) FILTER ({_BROKEN} = '') AS valid, count(*) FILTER ({_BROKEN} <> '') AS invalid, avg(({_BROKEN} = '')::INT) AS pass_rate FROM {_CUSTOMER}")
 def pass_rate(spark, sf_dir):
-    return _rules().validate(table(spark, sf_dir, "customer")).counts()
+    return _checked(spark, sf_dir).counts()
 
 
-@query(f"SELECT 'customers' AS source, {_BROKEN} AS error, c_custkey FROM customer WHERE {_BROKEN} <> ''")
+@query(f"SELECT 'customers' AS source, {_BROKEN} AS error, c_custkey FROM {_CUSTOMER} WHERE {_BROKEN} <> ''")
 def dead_letter(spark, sf_dir):
     letters = DeadLetters()
-    letters.add(_rules().validate(table(spark, sf_dir, "customer")), "customers")
+    letters.add(_checked(spark, sf_dir), "customers")
     return letters.get("customers").select("source", "error", F.get_json_object("record", "$.c_custkey").cast("long").alias("c_custkey"))
 
 
+@query("(SELECT 'nations' AS source, n_name AS record FROM nation) UNION ALL (SELECT 'regions', r_name FROM region ORDER BY r_name DESC LIMIT 2)")
+def dead_letter_evicts(spark, sf_dir):
+    """Of 30 letters 27 are kept: those that were added first go."""
+    letters = DeadLetters(27)
+    for name, field, source in (("region", "r_name", "regions"), ("nation", "n_name", "nations")):
+        rows = table(spark, sf_dir, name)
+        letters.add(rows.select(F.col(field).alias("record"), F.lit("e").alias("error"), F.lit(source).alias("source"), F.current_timestamp().alias("timestamp")))
+    return letters.get().select("source", "record")
+
+
 @query("SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderkey % 4 = 0")
 def schema_valid(spark, sf_dir):
     """Text that reads as whole numbers passes; other text doesn't."""
@@ -443,6 +485,26 @@ def json_schema_valid(spark, sf_dir):
     return JSONSchema(schema).validate(table(spark, sf_dir, "events"), "props").valid.select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE (CAST(json_extract(props, '$.k') AS INT) < 20 OR CAST(json_extract(props, '$.k') AS INT) > 60) AND CAST(json_extract(props, '$.k') AS INT) <> 7")
+def json_schema_combined(spark, sf_dir):
+    """Alternatives, references and lists of records."""
+    k = {"anyOf": [{"$ref": "#/$defs/low"}, {"minimum": 61}], "not": {"const": 7}}
+    schema = {"$defs": {"low": {"exclusiveMaximum": 20}}, "required": ["of"], "properties": {"of": {"type": "array", "items": {"type": "object", "properties": {"k": k}, "additionalProperties": False}}}}
+    events = table(spark, sf_dir, "events").withColumn("listed", F.concat(F.lit('{"of": ['), "props", F.lit(', {"k": 3}]}')))
+    return JSONSchema(schema).validate(events, "listed").valid.select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 <> 0")
+def avro_valid(spark, sf_dir):
+    """Records against an Avro schema: an enum, a field that may be null, and one that must not."""
+    schema = {"type": "record", "name": "o", "fields": [
+        {"name": "o_orderkey", "type": "long"}, {"name": "status", "type": {"type": "enum", "name": "s", "symbols": ["F", "O"]}},
+        {"name": "price", "type": "double"}, {"name": "note", "type": ["null", "string"], "default": None}]}
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), price.alias("price"))
+    return JSONSchema(schema, type="avro").validate_rows(rows).valid.select("o_orderkey")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").alias("props"))
@@ -512,6 +574,16 @@ def kafka_codec(spark, sf_dir):
     return good.select("n_nationkey", "n_name", F.col("_kafka_meta.topic").alias("topic"), F.col("_kafka_meta.partition").alias("part"))
 
 
+@query("SELECT n_nationkey, n_name || chr(65533) || 'z' AS raw FROM nation")
+def kafka_raw(spark, sf_dir):
+    """Bytes that aren't UTF-8 become replacement characters."""
+    from weirflow.sources.kafka import decode as decoded
+
+    value = F.concat(F.col("n_name").cast("binary"), F.unhex(F.lit("FF")), F.lit("z").cast("binary"))
+    messages = table(spark, sf_dir, "nation").select(value.alias("value"), F.col("n_nationkey").cast("string").alias("topic"))
+    return decoded(messages, "raw").select(F.col("_kafka_meta.topic").cast("int").alias("n_nationkey"), "raw")
+
+
 # A pipeline
 
 

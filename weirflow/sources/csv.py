@@ -16,7 +16,7 @@ class CSVFile:
     """A file or folder of delimited text. Cells are text, empty ones too; without a header, columns are "0", "1", and so on.
 
     columns: names in the file's order, which spares a look at the file; they are needed for streams.
-    multi_line: cells may hold line ends, which keeps a file from being split among tasks.
+    multi_line: cells may hold line ends. That keeps a file from being split among tasks, so it has to be asked for.
     """
 
     path: str
@@ -24,7 +24,7 @@ class CSVFile:
     encoding: str = "utf-8"
     has_header: bool = True
     columns: list[str] = field(default_factory=list)
-    multi_line: bool = True
+    multi_line: bool = False
     empty_as_null: bool = False
 
     def _options(self) -> dict:

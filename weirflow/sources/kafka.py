@@ -29,7 +29,7 @@ def decode(messages: DataFrame, format: str = "json", schema: StructType | str |
         raise ValueError(f"no format {format!r}; there are {', '.join(FORMATS)}")
     parts = [c for c in ("topic", "partition", "offset", "timestamp") if c in messages.columns]
     meta = F.struct(*parts).alias(META) if parts else F.lit(None).alias(META)
-    text = F.col("value").cast("binary").cast("string")
+    text = F.make_valid_utf8(F.col("value").cast("binary").cast("string"))
     if format == "raw":
         return messages.select(text.alias("raw"), F.lit(None).cast("string").alias(BROKEN), meta)
     if schema is None:

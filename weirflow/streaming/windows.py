@@ -109,7 +109,7 @@ def _times(out: DataFrame, keys: list[str], outputs: list[str], numeric: bool) -
 
 
 def _with_strict_sessions(rows: DataFrame, at: str, keys: list[str], gap: float) -> DataFrame:
-    """rows with START and END by an ordered pass over each group."""
+    """rows with START and END by an ordered pass over each group, which has to fit into a task."""
     import pandas as pd
 
     kind = rows.schema[at].dataType
@@ -118,14 +118,13 @@ def _with_strict_sessions(rows: DataFrame, at: str, keys: list[str], gap: float)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(at, kind="stable")
-        sessions: list[list] = []
         mine: list[list] = []
+        open_: list | None = None  # times ascend, so no earlier session can take a row any more
         for t in group[at]:
-            found = next((s for s in sessions if t <= s[1] + width), None)
-            if found is None:
-                sessions.append(found := [t, t + width])
-            found[1] = max(found[1], t)
-            mine.append(found)
+            if open_ is None or t > open_[1] + width:
+                open_ = [t, t + width]
+            open_[1] = max(open_[1], t)
+            mine.append(open_)
         return group.assign(**{START: [s[0] for s in mine], END: [s[1] for s in mine]})[schema.names]
 
     return rows.groupBy(*(column(rows, k)[0] for k in keys)).applyInPandas(fold, schema)

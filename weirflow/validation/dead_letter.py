@@ -9,10 +9,13 @@ from .schema import ERRORS, Validated
 
 #: The columns of a rejected row.
 COLUMNS = ["record", "error", "source", "timestamp"]
+ADDED = "__weir_added"
 
 
 class DeadLetters:
-    """Rejected rows as record (JSON text), error, source and timestamp; of more than max_size, the latest by timestamp are given out."""
+    """Rejected rows as record (JSON text), error, source and timestamp; of more than max_size, those added last are given out.
+
+    What add() is given together is in the order of timestamp and record."""
 
     def __init__(self, max_size: int = 10_000):
         if max_size < 1:
@@ -32,16 +35,17 @@ class DeadLetters:
 
     def _all(self) -> DataFrame | None:
         out = None
-        for f in self._frames:
+        for n, f in enumerate(self._frames):
+            f = f.withColumn(ADDED, F.lit(n))
             out = f if out is None else out.unionByName(f)
         return out
 
     def get(self, source: str | None = None) -> DataFrame:
-        """The letters, the latest first."""
+        """The letters, those added last first."""
         rows = self._all()
         if rows is None:
             raise LookupError("no letters yet")
-        kept = rows.orderBy(F.desc("timestamp"), F.desc("record")).limit(self.max_size)
+        kept = rows.orderBy(F.desc(ADDED), F.desc("timestamp"), F.desc("record")).limit(self.max_size).drop(ADDED)
         return kept if source is None else kept.filter(F.col("source") == source)
 
     def size(self) -> int:

@@ -9,7 +9,7 @@ from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, DoubleType, IntegralType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -102,6 +102,15 @@ class RecordSchema:
         done = split(df, errors)
         return Validated(done.valid.select(*made), done.invalid)
 
+    def validate_one(self, record: dict[str, Any], spark: SparkSession) -> tuple[dict[str, Any] | None, str | None]:
+        """The coerced record and no error, or none and the error. For single records; frames go through validate()."""
+        names = list(record) or ["__weir_empty"]
+        row = spark.range(1).select(*(F.lit(record.get(n)).alias(n) for n in names))
+        done = self.validate(row.select(*(F.col(f"`{n}`").cast("string").alias(n) if t == "void" else F.col(f"`{n}`") for n, t in row.dtypes)))
+        if good := done.valid.first():
+            return good.asDict(), None
+        return None, done.invalid.first()[ERRORS]
+
     def _tests(self, name: str, value: Column) -> list[tuple[Column, str]]:
         out = []
         for b in self.bounds.get(name, []):
