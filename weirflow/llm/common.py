@@ -1,8 +1,7 @@
-"""What several operators of this subpackage share."""
+"""What several operators of this subpackage share, and what they take from the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,34 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints/weirflow"
+from weirflow.plans.ordering import shared_dir, written
 
+#: Writes a frame as a table in the shared folder and reads it again: that cuts the lineage in a way that survives lost
+#: executors. The table goes when the driver's JVM ends.
+materialize = written
+
+__all__ = ["Recent", "filter_rows", "id_text_crc", "map_rows", "materialize", "require", "shared_dir", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, without a final slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or FALLBACK_DIR).rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage in a way that survives lost executors. The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, rows: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str) -> DataFrame:
     """df.mapInArrow with rows()(columns of a batch as lists) giving tuples of the schema.
 
