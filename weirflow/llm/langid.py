@@ -30,7 +30,7 @@ PIECE = 64
 ORDERS = (1, 2, 3, 4)
 #: n-grams kept, by frequency, and the least share of a language's letters that makes a script one of its own.
 GRAMS, SCRIPT_SHARE = 200_000, 0.01
-#: What a worker keeps: parts of texts, twice, and words with scores (at this number it forgets them all). Words in one pass.
+#: What a task keeps: parts of texts, twice, and words with scores (at this number it forgets them all). Words in one pass.
 CACHE, CORES, PASS_WORDS = 200_000, 600_000, 1_000_000
 #: What a language that doesn't write in a word's script gets for it.
 FOREIGN = -50.0
@@ -99,7 +99,6 @@ class Model:
     def __init__(self, sample: list[tuple[str, str]]):
         """sample: (language, text)."""
         self.langs = sorted({lang for lang, _ in sample})
-        self.labellers: dict[float, Labeller] = {}
         words: dict[str, Counter] = {lang: Counter() for lang in self.langs}
         for lang, text in sample:
             words[lang].update(text.split())
@@ -130,12 +129,6 @@ class Model:
         total = sum(letters.values(), np.zeros(n)) + 1e-9
         self.scripts = {s: np.where(v / total >= SCRIPT_SHARE, 0.0, FOREIGN).astype(np.float32) for s, v in letters.items() if (v / total >= SCRIPT_SHARE).any()}
 
-    def labeller(self, switch: float = SWITCH) -> Labeller:
-        """In a worker, all tasks' labeller for this penalty, so that later ones find its caches filled."""
-        if switch not in self.labellers:
-            self.labellers[switch] = Labeller(self, switch)
-        return self.labellers[switch]
-
     def score(self, words: list[str | tuple[str, str, int]]) -> np.ndarray:
         """A row for each word of letters, or piece of one; zeros for a word in a script that no language was seen in."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -320,7 +313,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     span = pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = sent.value.labeller(switch)
+        labeller = Labeller(sent.value, switch)
         for batch in batches:
             out = list(labeller.predict(batch.column(1).to_pylist()))
             langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
@@ -343,7 +336,7 @@ def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH, least: flo
     at = names.index("lang") if "lang" in names and docs.schema["lang"].dataType.typeName() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = sent.value.labeller(switch) if sent.value.langs else None
+        labeller = Labeller(sent.value, switch) if sent.value.langs else None
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             if labeller is None:

@@ -28,7 +28,7 @@ WINDOW = 2048
 #: Pieces a pool holds before it is packed down to half.
 POOL = 4096
 #: Parts and pre-tokens whose ids a worker keeps, twice each, none of over LONG letters, and letters read at once.
-CACHE, LONG, BLOCK = 500_000, 64, 1 << 18
+CACHE, LONG, BLOCK = 300_000, 64, 1 << 18
 #: The id that ends each document, in four little-endian bytes.
 END_ID = (1).to_bytes(4, "little")
 
