@@ -29,7 +29,7 @@ MATCH = 5
 COVERAGE = 0.8
 #: Words of test items that are sent to the tasks at once: some 100 MB there.
 BLOCK_WORDS = 1_000_000
-#: Parts of texts whose ids a task keeps, twice.
+#: Parts of texts whose ids a worker keeps, twice.
 KNOWN_PARTS = 200_000
 #: Base of the rolling hash, modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +48,9 @@ class _Ids:
 
     def __init__(self, ids: dict[str, int]):
         self.ids = ids
+        self._forget()
+
+    def _forget(self) -> None:
         self.many: dict[tuple[int, ...], int] = {(): -1}
         self.listed: list[tuple[int, ...]] = [(), ()]
         self.parts = Recent(self._part, KNOWN_PARTS)
@@ -64,6 +67,8 @@ class _Ids:
         return self.many[own]
 
     def of(self, text: str | None) -> np.ndarray:
+        if len(self.listed) > KNOWN_PARTS:
+            self._forget()
         parts = (text or "").split()
         found = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
         if not (found < 0).any():

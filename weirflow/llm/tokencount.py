@@ -23,7 +23,7 @@ from .common import Recent, map_rows, require
 MARK = "▁"
 UNKNOWN = -30.0
 #: Nodes of a worker's trie (it starts anew at this number), and words whose counts a worker keeps, twice.
-NODES, CACHE = 400_000, 500_000
+NODES, CACHE = 400_000, 300_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
