@@ -199,3 +199,10 @@ def test_dead_letters_that_were_added_first_go_first(spark):
     for name in ("z-first", "m-second", "a-third"):
         letters.add(spark.createDataFrame([(name, "e")], "name string, _errors string"), "s")
     assert [r.record for r in letters.get().collect()] == ['{"name":"a-third"}', '{"name":"m-second"}']
+
+
+def test_dead_letters_without_a_bound_are_all_kept(spark):
+    letters = DeadLetters(None)
+    for first in (0, 6000):
+        letters.add(spark.range(first, first + 6000).selectExpr("id", "'e' AS _errors"), "s")
+    assert letters.size() == 12_000 and letters.get("s").count() == 12_000 and letters.flush().distinct().count() == 12_000 and letters.size() == 0

@@ -15,10 +15,10 @@ ADDED = "__weir_added"
 class DeadLetters:
     """Rejected rows as record (JSON text), error, source and timestamp; of more than max_size, those added last are given out.
 
-    What add() is given together is in the order of timestamp and record."""
+    With max_size None, all are. What add() is given together is in the order of timestamp and record."""
 
-    def __init__(self, max_size: int = 10_000):
-        if max_size < 1:
+    def __init__(self, max_size: int | None = 10_000):
+        if max_size is not None and max_size < 1:
             raise ValueError("max_size is at least 1")
         self.max_size = max_size
         self._frames: list[DataFrame] = []
@@ -45,12 +45,14 @@ class DeadLetters:
         rows = self._all()
         if rows is None:
             raise LookupError("no letters yet")
-        kept = rows.orderBy(F.desc(ADDED), F.desc("timestamp"), F.desc("record")).limit(self.max_size).drop(ADDED)
+        kept = rows.orderBy(F.desc(ADDED), F.desc("timestamp"), F.desc("record"))
+        kept = (kept if self.max_size is None else kept.limit(self.max_size)).drop(ADDED)
         return kept if source is None else kept.filter(F.col("source") == source)
 
     def size(self) -> int:
         rows = self._all()
-        return 0 if rows is None else min(rows.count(), self.max_size)
+        n = 0 if rows is None else rows.count()
+        return n if self.max_size is None else min(n, self.max_size)
 
     def flush(self) -> DataFrame:
         """The letters, which are then forgotten."""
