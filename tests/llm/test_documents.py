@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weirflow.llm import chat, decontaminate, fingerprint, packing, queries, tokencount
+from weirflow.llm import chat, common, decontaminate, fingerprint, packing, queries, tokencount
 
 # Fingerprints
 
@@ -198,6 +199,18 @@ def test_packing_query(spark, sf_dir):
 ODD = ["", " ", "a", "It's we're I'LL", "ÉÀß ſt İI", "<|endoftext|>", "x<|startoftext|>y <|", "漢字かな", "á ́b", "12٣", "\t\r\x1c\xa0", "e" * 5000, "don't\nstop", "µª", "ŉ", "_-_ --"]
 
 
+def test_a_worker_keeps_its_tokenizer_until_another_operators_task():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    left = weakref.ref(packing.tokenizer_of(path).pre_tokens)
+    assert packing.tokenizer_of(path).pre_tokens is left()
+    common.kept("another", dict)
+    assert left() is None
+    made = packing.tokenizer_of(path)
+    assert made.pre_tokens["cat"] and packing.tokenizer_of(path) is made
+    common.release()
+    assert packing.tokenizer_of(path) is not made
+
+
 def test_word_tokenizer_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import gc
+import weakref
 import zlib
 
 import numpy as np
@@ -86,6 +88,18 @@ def test_caches_do_not_change_results(model, monkeypatch):
     assert list(langid.Labeller(model).predict(texts)) == whole
 
 
+def test_a_labellers_caches_go_with_its_last_use(model):
+    gc.disable()
+    try:
+        labeller = langid.Labeller(model)
+        assert [r[0] for r in labeller.predict(["the cat"])] == ["en"]
+        left = weakref.ref(labeller.parts)
+        labeller = None
+        assert left() is None
+    finally:
+        gc.enable()
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None), (1, None, "en"), (2, "", None), (2, "the cat", "en"), (2, "the cat", "en")]])
 def test_language_of_odd_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "'x' as lang_pred", "text as spans")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from inspect import ismethod
+from weakref import WeakMethod
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +20,11 @@ from weirflow.plans.ordering import shared_dir, written
 #: executors. The table goes when the driver's JVM ends.
 materialize = written
 
-__all__ = ["Recent", "filter_rows", "id_text_crc", "map_rows", "materialize", "require", "shared_dir", "table"]
+__all__ = ["Recent", "filter_rows", "id_text_crc", "kept", "map_rows", "materialize", "release", "require", "shared_dir", "table", "trim"]
+
+#: What this worker process keeps for later tasks: of one operator at a time.
+_KEPT: dict = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,13 +49,41 @@ def map_rows(df: DataFrame, rows: Callable[[], Callable[[dict], Iterator[tuple]]
     return df.mapInArrow(run, struct)
 
 
+def release() -> None:
+    """Drops what a worker's earlier tasks kept, and trims.
+
+    Workers outlive their tasks and stages; without this, an executor holds the leavings of all operators at once.
+    """
+    _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives back to the system what was freed only within the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:  # glibc
+        back(0)
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """make(), kept for this worker's later tasks until some other operator's task begins."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """Rows of df whose value in column passes; all columns go through as they are. keep is called once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         passes = keep()
         for batch in batches:
             yield batch.filter(pa.array(passes(batch.column(batch.schema.names.index(column)).to_pylist()), type=pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, df.schema)
 
@@ -56,22 +92,28 @@ class Recent(dict):
     """A cache of a function's values over strings that keeps those of recent use, at most twice so many.
 
     When it is full, its entries become the older half, out of which those in use come back. Strings of over LONG letters
-    aren't kept.
+    aren't kept. A method's object is held weakly: it may own the cache, and both go with its last use, not only when
+    Python looks for cycles.
     """
 
     LONG = 100
 
     def __init__(self, function: Callable[[str], object], most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function = WeakMethod(function) if ismethod(function) else function
+        self.most = most
         self.older: dict = {}
 
+    def _value(self, key: str):
+        function = self.function() if isinstance(self.function, WeakMethod) else self.function
+        return function(key)
+
     def __missing__(self, key: str):
         if len(key) > self.LONG:
-            return self.function(key)
+            return self._value(key)
         value = self.older.get(key)
         if value is None:
-            value = self.function(key)
+            value = self._value(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

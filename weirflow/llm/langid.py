@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, id_text_crc, require
+from .common import Recent, id_text_crc, release, require
 
 #: Nats that a change of language costs; about what three clear words bring in.
 SWITCH = 12.0
@@ -238,21 +238,20 @@ class Labeller:
     def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """For each text: rows of its words in self.scores, the language number of each, and the numbers of their words if
         there are pieces. Use them before the next."""
-        group: list[list[str]] = []
+        read: list[tuple[np.ndarray, np.ndarray | None]] = []
         size = 0
         for text in texts:
+            if not read and len(self.rows) > CORES:
+                self._forget()
             parts = (text or "").split()
-            group.append(parts)
+            read.append(self._read(parts))
             size += len(parts) + len(text or "") // PIECE
             if size >= PASS_WORDS:
-                yield from self._pass(group)
-                group, size = [], 0
-        yield from self._pass(group)
-
-    def _pass(self, group: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-        if len(self.rows) > CORES:
-            self._forget()
-        read = [self._read(parts) for parts in group]
+                yield from self._pass(read)
+                read, size = [], 0
+        yield from self._pass(read)
+
+    def _pass(self, read: list[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         words = [rows for rows, _ in read]
         if self.new:
             self._learn()
@@ -313,12 +312,16 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     span = pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         labeller = Labeller(sent.value, switch)
         for batch in batches:
             out = list(labeller.predict(batch.column(1).to_pylist()))
             langs, scores, spans = zip(*out, strict=True) if out else ((), (), ())
             rows = [[{"lang": lang, "begin": a, "end": b} for lang, a, b in s] for s in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rows, span)], names=["doc_id", "lang_pred", "score", "spans"])
+            batch = out = langs = scores = spans = rows = None  # not held while the next one comes
+        labeller = None
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTIONS)
 
@@ -336,6 +339,7 @@ def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH, least: flo
     at = names.index("lang") if "lang" in names and docs.schema["lang"].dataType.typeName() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         labeller = Labeller(sent.value, switch) if sent.value.langs else None
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
@@ -346,5 +350,8 @@ def keep_known(docs: DataFrame, model: Model, switch: float = SWITCH, least: flo
             if at is not None:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array([lang for lang, _ in found], batch.schema.field(at).type))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            batch = texts = found = None  # not held while the next one comes
+        labeller = None
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,13 +16,12 @@ import zlib
 from bisect import insort
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, require
+from .common import Recent, kept, require, trim
 
 WINDOW = 2048
 #: Pieces a pool holds before it is packed down to half.
@@ -100,10 +99,9 @@ class WordTokenizer:
                     del known[part]
 
 
-@cache
 def tokenizer_of(path: str) -> WordTokenizer:
-    """The tokenizer of this process: later tasks of a worker find its caches filled."""
-    return WordTokenizer(path)
+    """The tokenizer of this process: later tasks of a worker find its caches filled, until another operator's begin."""
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def best_fill(lengths: list[int], counts: Callable[[int], int], room: int) -> list[tuple[int, int]]:
@@ -253,5 +251,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield from ready()
         packer.finish()
         yield from ready()
+        trim()
 
     return rows.mapInArrow(run, PIECES)
